@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p02_frequency, p05_distinctive, p08_encoding, p09_leaks, p10_repetition
+from . import p02_frequency, p05_distinctive, p06_encoding_damage, p07_lookalikes, p08_encoding, p09_leaks, p10_repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,38 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p05_distinctive.distinctive_terms(_table(spark, sf_dir, "articles"), min_tf=3, max_docs=5).select("rec_id", "term")
 
 
+def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every damaged value with its text as far as it can be restored."""
+    return p06_encoding_damage.damage(_table(spark, sf_dir, "articles"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_repaired(spark, sf_dir).filter("rec_id is not null").select("rec_id", "field").distinct()
+
+
+def _p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = p07_lookalikes.unified(_table(spark, sf_dir, "candidates"), "cand_id", ["word"], spare_damaged=False, only_changed=True)
+    texts = p07_lookalikes.unified(_table(spark, sf_dir, "articles"), "rec_id", ["texte", "titre"], only_changed=True)
+    return (
+        texts.select(F.lit("articles").alias("tbl"), F.col("rec_id").alias("row_id"), "field", "form")
+        .unionByName(words.select(F.lit("candidates").alias("tbl"), F.col("cand_id").alias("row_id"), "field", "form"))
+    )
+
+
+def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every value that is written with other characters."""
+    return _p7_values(spark, sf_dir)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p7_values(spark, sf_dir).filter("row_id is not null").select("tbl", "row_id", "field").distinct()
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate words grouped by equal skeleton."""
+    return p07_lookalikes.same_looking(_table(spark, sf_dir, "candidates"), "word")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p08_encoding.encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +89,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_terms, p5_found, p5_weights, p8_ids, p8_decoded, p9_found, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p2_found, p2_terms, p5_found, p5_weights, p6_found, p6_repaired, p7_found, p7_forms, p7_groups, p8_ids, p8_decoded, p9_found, p10_found, p10_shares)}
 
 
 _COUNTS = r"""
