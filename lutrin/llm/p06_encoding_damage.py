@@ -9,6 +9,7 @@ words show damage that can't be undone.
 
 from __future__ import annotations
 
+import base64
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ _LOST = re.compile(
     r"\?(?:\?|(?<=[^\W\d_]\?)(?=[^\W\d_]|[,.;:]|[ '’-][a-zà-ÿ]|\s*$)|(?:(?<=[\s'’(«-]\?)|(?<=^\?))(?=[^\W\d_])|(?<=[^\W\d_] \?)(?= [a-zà-ÿ])|(?:(?<=\n\?)|(?<=^\?))(?= [^\W\d_]))",
     re.M,
 )
+#: A shifted sequence of UTF-7; each character takes two and two thirds of these signs.
+_SHIFTED = re.compile(r"\+([A-Za-z0-9+/]{3,})-?")
 _WORD = re.compile(r"[^\s'’\-/|>.,;:()\"]+")
 #: A lead byte's continuation bytes, the automaton's first transition: state by byte.
 _NEED = [0] * 0xC2 + [1] * 30 + [2] * 16 + [3] * 5 + [0] * 11
@@ -106,6 +109,18 @@ def _undo_multibyte(text: str, codec: str) -> tuple[str, int]:
     return _RUNS[codec].sub(fix, text), n
 
 
+def _undo_utf7(text: str) -> tuple[str, bool]:
+    """``text`` with the shifted sequences of UTF-7 decoded: characters beyond ASCII as base64 of UTF-16 between + and -."""
+
+    def fix(m: re.Match) -> str:
+        data = base64.b64decode(m[1] + "A" * (-len(m[1]) % 4))
+        got = data[: len(m[1]) * 6 // 16 * 2].decode("utf-16-be", "replace")
+        return got if all(c >= "\xa0" and _likely(c) for c in got) else m[0]
+
+    other = _SHIFTED.sub(fix, text)
+    return other, other != text
+
+
 def _odd(word: str) -> int:
     """Characters of a word that can't stand in it: capitals after small letters, letters of two scripts, stray signs."""
     if word.isascii():
@@ -166,9 +181,11 @@ def repair(text: str | None) -> tuple[bool, str | None, bool]:
     if not text:
         return False, text, True
     lost = "�" in text or "?" in text and bool(_LOST.search(text))
-    if text.isascii():
-        return lost, text, not lost
     damaged = False
+    if "+A" in text or "+I" in text:
+        text, damaged = _undo_utf7(text)
+    if text.isascii():
+        return lost or damaged, text, not lost
     for _ in range(PASSES):
         if not _RUN.search(text):
             break
