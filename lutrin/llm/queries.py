@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p02_frequency, p05_distinctive, p06_encoding_damage, p07_lookalikes, p08_encoding, p09_leaks, p10_repetition
+from . import p02_frequency, p03_boilerplate, p05_distinctive, p06_encoding_damage, p07_lookalikes, p08_encoding, p09_leaks, p10_repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_terms(spark, sf_dir).filter("mark is not null").select("term", "mark")
 
 
+def p3_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and contacts of articles without their page furniture."""
+    return p03_boilerplate.main_text(_table(spark, sf_dir, "articles"), _table(spark, sf_dir, "raw_articles"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p03_boilerplate.furniture_lines(_table(spark, sf_dir, "articles"), _table(spark, sf_dir, "raw_articles")).distinct()
+
+
 def p5_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term of every article with its weight."""
     return p05_distinctive.distinctive_terms(_table(spark, sf_dir, "articles")).select("rec_id", "term", "tf", "n_docs", F.round("weight", 6).alias("weight"))
@@ -89,7 +98,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_terms, p5_found, p5_weights, p6_found, p6_repaired, p7_found, p7_forms, p7_groups, p8_ids, p8_decoded, p9_found, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_main, p5_found, p5_weights, p6_found, p6_repaired, p7_found, p7_forms, p7_groups, p8_ids, p8_decoded, p9_found, p10_found, p10_shares)}
 
 
 _COUNTS = r"""
