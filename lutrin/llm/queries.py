@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p02_frequency, p03_boilerplate, p05_distinctive, p06_encoding_damage, p07_lookalikes, p08_encoding, p09_leaks, p10_repetition
+from . import p02_frequency, p03_boilerplate, p04_subjects, p05_distinctive, p06_encoding_damage, p07_lookalikes, p08_encoding, p09_leaks, p10_repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p03_boilerplate.furniture_lines(_table(spark, sf_dir, "articles"), _table(spark, sf_dir, "raw_articles")).distinct()
 
 
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each article's own sentences that treat each area."""
+    return p04_subjects.subject_shares(*(_table(spark, sf_dir, t) for t in ("articles", "subject_samples", "raw_articles")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p04_subjects.subjects(*(_table(spark, sf_dir, t) for t in ("articles", "subject_samples", "raw_articles")))
+
+
 def p5_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term of every article with its weight."""
     return p05_distinctive.distinctive_terms(_table(spark, sf_dir, "articles")).select("rec_id", "term", "tf", "n_docs", F.round("weight", 6).alias("weight"))
@@ -98,7 +107,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_main, p5_found, p5_weights, p6_found, p6_repaired, p7_found, p7_forms, p7_groups, p8_ids, p8_decoded, p9_found, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_main, p4_found, p4_shares, p5_found, p5_weights, p6_found, p6_repaired, p7_found, p7_forms, p7_groups, p8_ids, p8_decoded, p9_found, p10_found, p10_shares)}
 
 
 _COUNTS = r"""
