@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import p02_frequency, p03_boilerplate, p04_subjects, p05_distinctive, p06_encoding_damage, p07_lookalikes, p08_encoding, p09_leaks, p10_repetition
+from . import p01_names, p02_frequency, p03_boilerplate, p04_subjects, p05_distinctive, p06_encoding_damage, p07_lookalikes, p08_encoding, p09_leaks, p10_repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_signatories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with the id of the signatory it names."""
+    return p01_names.signatories(_table(spark, sf_dir, "articles"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p01_names.same_signatory(_table(spark, sf_dir, "articles"))
+
+
 def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term with its occurrences, records and mark."""
     return p02_frequency.marked_terms(_table(spark, sf_dir, "articles"))
@@ -107,7 +116,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_main, p4_found, p4_shares, p5_found, p5_weights, p6_found, p6_repaired, p7_found, p7_forms, p7_groups, p8_ids, p8_decoded, p9_found, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_signatories, p2_found, p2_terms, p3_found, p3_main, p4_found, p4_shares, p5_found, p5_weights, p6_found, p6_repaired, p7_found, p7_forms, p7_groups, p8_ids, p8_decoded, p9_found, p10_found, p10_shares)}
 
 
 _COUNTS = r"""
