@@ -1 +1 @@
-
+"""Scalar functions on text: columns in, columns out."""

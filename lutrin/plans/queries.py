@@ -1,6 +1,310 @@
-def queries():
-    return {}
+"""The library's operators as queries over whole tables, and the same in DuckDB's SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lutrin.functions.text import is_entity, normalize, strip_accents
+from lutrin.operators import correction, index, substitution
+from lutrin.sources.files import articles_of
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "articles")
+
+
+def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lexicon")
+
+
+def _lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lemmas of words as they stand in texts, accents kept: the most voted, then first seen."""
+    rows = _lexicon(spark, sf_dir).select("line_no", F.lower(F.trim("word")).alias("word"), F.lower(F.trim("lemma")).alias("lemma"))
+    votes = rows.groupBy("word", "lemma").agg(F.count("*").alias("votes"), F.min("line_no").alias("first"))
+    return votes.groupBy("word").agg(F.max_by("lemma", F.struct("votes", (-F.col("first")).alias("early"))).alias("lemma"))
+
+
+def tokens_per_bulletin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.token_counts(_articles(spark, sf_dir))
+
+
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.term_frequency(_articles(spark, sf_dir))
+
+
+def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.document_frequency(_articles(spark, sf_dir))
+
+
+def tfidf_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.tfidf(_articles(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def tfidf_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.max_scores(_articles(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def tfidf_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.score_report(_articles(spark, sf_dir))
+
+
+def anti_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.anti_dictionary(_articles(spark, sf_dir))
+
+
+def anti_dictionary_by_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.in_every_document(_articles(spark, sf_dir))
+
+
+def lemma_tfidf_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.lemma_max_scores(_articles(spark, sf_dir), _lemmas(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+def lemma_anti_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.lemma_anti_dictionary(_articles(spark, sf_dir), _lemmas(spark, sf_dir))
+
+
+def filtered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and texts of all articles without the words of the given list."""
+    return substitution.filtered_corpus(_articles(spark, sf_dir), table(spark, sf_dir, "anti_dict")).select("rec_id", "titre", "texte")
+
+
+def filtered_corpus_own_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the collection's own anti-dictionary, tokens in order."""
+    articles = _articles(spark, sf_dir)
+    own = index.anti_dictionary(articles).withColumn("ord", F.col("token"))
+    return substitution.filtered_corpus(articles, own).select("rec_id", "titre", "texte")
+
+
+def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.inverted_index(_articles(spark, sf_dir), _lemmas(spark, sf_dir))
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.postings(inverted_index(spark, sf_dir))
+
+
+def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.word_counts(_articles(spark, sf_dir))
+
+
+def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.word_stems(_articles(spark, sf_dir))
+
+
+def stem_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.stem_frequency(_articles(spark, sf_dir))
+
+
+def word_lemma_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.word_lemma_pairs(_articles(spark, sf_dir), _lemmas(spark, sf_dir))
+
+
+def lemma_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.lemma_frequency(word_lemma_pairs(spark, sf_dir))
+
+
+def compression_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.compression_rate(word_lemma_pairs(spark, sf_dir)).withColumn("rate", F.round("rate", 9))
+
+
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article records of all pages."""
+    return articles_of(table(spark, sf_dir, "raw_articles"))
+
+
+def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of pages that a regular expression reaches too."""
+    return page_fields(spark, sf_dir).select("path", "article", "bulletin", "date", F.size("images").cast("long").alias("n_images"))
+
+
+def normalized_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.tokenized(table(spark, sf_dir, "queries")).select("query_id", "pos", "token", "word")
+
+
+def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.tokenized(table(spark, sf_dir, "queries")).select("query_id", "pos", "token")
+
+
+def entity_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_tokens(spark, sf_dir).filter(is_entity(F.col("token")))
+
+
+def normalized_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and lemmas of the lexicon, normalised."""
+    return _lexicon(spark, sf_dir).select("line_no", normalize(F.col("word")).alias("word"), strip_accents(F.col("lemma")).alias("lemma"))
+
+
+def lexicon_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.lexicon_votes(_lexicon(spark, sf_dir))
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.lexicon(_lexicon(spark, sf_dir))
+
+
+def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of queries that the lexicon has, with their lemmas."""
+    asked = correction.tokenized(table(spark, sf_dir, "queries"))
+    return asked.join(lexicon(spark, sf_dir), "word").select("query_id", "pos", "word", "lemma")
+
+
+def prefix_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.ranked_candidates(table(spark, sf_dir, "queries"), _lexicon(spark, sf_dir)).withColumn("prefix_ratio", F.round("prefix_ratio", 6))
+
+
+def best_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.ranked_candidates(table(spark, sf_dir, "queries"), _lexicon(spark, sf_dir)).filter("rank = 1").select("query_id", "pos", "word", "lemma", "distance")
+
+
+def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.analysis(table(spark, sf_dir, "queries"), _lexicon(spark, sf_dir))
+
+
+def query_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.report(query_analysis(spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    found = (
+        tokens_per_bulletin, term_frequency, document_frequency, tfidf_per_document, tfidf_max, tfidf_report, anti_dictionary, anti_dictionary_by_df, lemma_tfidf_max, lemma_anti_dictionary,
+        filtered_text, filtered_corpus_own_list, inverted_index, postings, word_frequency, word_stems, stem_frequency, word_lemma_pairs, lemma_frequency, compression_rate, page_fields, page_keys,
+        query_tokens, entity_tokens, normalized_tokens, normalized_words, lexicon_votes, lexicon, lexicon_lookup, prefix_candidates, best_correction, query_analysis, query_report,
+    )
+    return {f.__name__: f for f in found}
+
+
+_TEXT = "coalesce(titre, '') || ' ' || coalesce(texte, '')"
+_TOKEN = r"(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu|quoiqu)[''’]|[\p{L}\p{N}]+"
+_TF = f"""
+WITH words AS (
+    SELECT bulletin AS doc_key, unnest(regexp_extract_all(lower({_TEXT}), '{_TOKEN}')) AS term FROM articles WHERE bulletin IS NOT NULL
+), counts AS (
+    SELECT doc_key, term, count(*) AS tf FROM words GROUP BY ALL
+), stats AS (
+    SELECT term, count(*) AS df, max(tf) AS best FROM counts GROUP BY term
+), size AS (
+    SELECT count(DISTINCT bulletin) AS n FROM articles
+)
+"""
+_LEMMAS = """
+votes AS (
+    SELECT lower(trim(word, ' ')) AS word, lower(trim(lemma, ' ')) AS lemma, count(*) AS votes, min(line_no) AS first FROM lexicon GROUP BY ALL
+), lemmas AS (
+    SELECT word, arg_max(lemma, {'v': votes, 'f': -first}) AS lemma FROM votes GROUP BY word
+)
+"""
+_LEMMA_TF = _TF.rstrip() + ", " + _LEMMAS.strip() + """, lemma_counts AS (
+    SELECT doc_key, coalesce(lemma, term) AS term, sum(tf)::BIGINT AS tf FROM counts LEFT JOIN lemmas ON term = word GROUP BY ALL
+), lemma_stats AS (
+    SELECT term, count(*) AS df, max(tf) AS best FROM lemma_counts GROUP BY term
+)
+"""
+_BODY_TF = _LEMMA_TF.replace("WHERE bulletin IS NOT NULL", r"WHERE bulletin IS NOT NULL AND regexp_matches(texte, '[^\s\p{Z}]')")
+_INDEX = r"SELECT term AS lemma, doc_key AS doc_id, tf FROM lemma_counts WHERE regexp_full_match(term, '\p{L}+')"
+_PAIRS = "WITH " + _LEMMAS.strip() + r""", pairs AS (
+    SELECT rec_id, part, unnest(range(len(w))) AS pos, unnest(w) AS word
+    FROM (SELECT rec_id, 0 AS part, regexp_extract_all(texte, '\p{L}+') AS w FROM articles UNION ALL SELECT rec_id, 1, regexp_extract_all(titre, '\p{L}+') FROM articles)
+), lemmatized AS (
+    SELECT rec_id, part, pos, pairs.word, coalesce(lemma, lower(pairs.word)) AS lemma FROM pairs LEFT JOIN lemmas ON lower(pairs.word) = lemmas.word
+)
+"""
+_NORMAL = "strip_accents(replace(lower(regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '’', ''''))"
+_QUERY = r"\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d+(?:[.,]\d+)?|[A-Za-zÀ-ÖØ-öø-ÿ]+(?:[-''][A-Za-zÀ-ÖØ-öø-ÿ]+)*"
+_ENTITY = r"\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d+(?:[.,]\d+)?"
+_ASKED = rf"""
+asked AS (
+    SELECT query_id, pos, token, {_NORMAL.format("token")} AS word, seuil_min, seuil_max, seuil_proximite, regexp_full_match(token, '{_ENTITY}') AS entity
+    FROM (
+        SELECT query_id, unnest(range(len(t))) AS pos, unnest(t) AS token, seuil_min, seuil_max, seuil_proximite
+        FROM (SELECT query_id, regexp_extract_all(replace(query, '’', ''''), '{_QUERY}') AS t, coalesce(seuil_min, 2) AS seuil_min, coalesce(seuil_max, 3) AS seuil_max, coalesce(seuil_proximite, 0.4) AS seuil_proximite
+              FROM (SELECT DISTINCT query_id, query, seuil_min, seuil_max, seuil_proximite FROM queries))
+    )
+)
+"""
+_LEXICON = rf"""
+normal AS (
+    SELECT line_no, {_NORMAL.format("word")} AS word, {_NORMAL.format("lemma")} AS lemma FROM lexicon
+), lexicon_votes AS (
+    SELECT word, lemma, count(*) AS votes, min(line_no) AS first FROM normal WHERE word <> '' AND lemma IS NOT NULL GROUP BY ALL
+), known AS (
+    SELECT word, arg_max(lemma, {{'v': votes, 'f': -first}}) AS lemma FROM lexicon_votes GROUP BY word
+)
+"""
+# levenshtein counts bytes there; outside of ASCII only œ and æ are left, and one sign stands for each.
+_CANDIDATES = "WITH " + _ASKED.strip() + ", " + _LEXICON.strip() + """, targets AS (
+    SELECT DISTINCT word AS target, seuil_min, seuil_max, seuil_proximite FROM asked WHERE NOT entity AND word NOT IN (SELECT word FROM known)
+), measured AS (
+    SELECT *, list_sum([(left(target, i) = left(word, i))::INT FOR i IN range(1, least(length(target), length(word)) + 1)])::INT AS prefix_len
+    FROM targets, known WHERE abs(length(word) - length(target)) <= seuil_max AND left(target, 1) = left(word, 1)
+), kept AS (
+    SELECT *, prefix_len / greatest(1, least(length(target), length(word))) AS prefix_ratio, levenshtein(translate(target, 'œæ', '01'), translate(word, 'œæ', '01'))::INT AS distance FROM measured
+    WHERE prefix_len >= seuil_min AND prefix_len / greatest(1, least(length(target), length(word))) >= seuil_proximite
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY target, seuil_min, seuil_max, seuil_proximite ORDER BY distance, prefix_len DESC, word) AS rank FROM kept
+)
+"""
+_ANALYSIS = _CANDIDATES.rstrip() + """, lists AS (
+    SELECT target, seuil_min, seuil_max, seuil_proximite, list(word ORDER BY rank) AS names, list(lemma ORDER BY rank) AS lemmas FROM ranked GROUP BY ALL
+), results AS (
+    SELECT query_id, pos, token,
+           CASE WHEN entity THEN 'entite' WHEN known.lemma IS NOT NULL THEN 'valide' WHEN names IS NULL THEN 'introuvable' WHEN len(names) = 1 THEN 'corrige-candidat-unique' ELSE 'corrige-levenshtein' END AS status,
+           CASE WHEN entity THEN token WHEN known.lemma IS NOT NULL THEN asked.word ELSE names[1] END AS correction,
+           CASE WHEN entity THEN token ELSE coalesce(known.lemma, lemmas[1]) END AS lemma,
+           CASE WHEN entity OR known.lemma IS NOT NULL THEN []::VARCHAR[] ELSE coalesce(names, []::VARCHAR[]) END AS candidates
+    FROM asked LEFT JOIN known ON asked.word = known.word
+    LEFT JOIN lists ON asked.word = target AND asked.seuil_min = lists.seuil_min AND asked.seuil_max = lists.seuil_max AND asked.seuil_proximite = lists.seuil_proximite
+    WHERE asked.word <> ''
+)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "tokens_per_bulletin": _TF + "SELECT doc_key, sum(tf)::BIGINT AS n_tokens, count(*) AS n_terms FROM counts GROUP BY doc_key",
+        "term_frequency": _TF + "SELECT doc_key, term, tf FROM counts",
+        "document_frequency": _TF + "SELECT term, df FROM stats",
+        "tfidf_per_document": _TF + "SELECT doc_key, term, tf, df, round(tf * ln(n / df), 6) AS score FROM counts JOIN stats USING (term), size",
+        "tfidf_max": _TF + "SELECT term, round(best * ln(n / df), 6) AS score FROM stats, size",
+        "tfidf_report": _TF + "SELECT printf('%-20s %-20.15f', term, best * ln(n / df)) AS line FROM stats, size",
+        "anti_dictionary": _TF + "SELECT term AS token, '' AS subst FROM stats, size WHERE best * ln(n / df) <= 0.0001",
+        "anti_dictionary_by_df": _TF + "SELECT term AS token, '' AS subst FROM stats, size WHERE df = n",
+        "lemma_tfidf_max": _LEMMA_TF + "SELECT term, round(best * ln(n / df), 6) AS score FROM lemma_stats, size",
+        "lemma_anti_dictionary": _LEMMA_TF + "SELECT term AS token, '' AS subst FROM lemma_stats, size WHERE best * ln(n / df) <= 0.0001",
+        "inverted_index": _BODY_TF + _INDEX,
+        "postings": _BODY_TF + f"SELECT lemma, count(*) AS n_docs, string_agg(doc_id || ': ' || tf, ', ' ORDER BY doc_id) AS postings FROM ({_INDEX}) GROUP BY lemma",
+        "word_frequency": rf"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower({_TEXT}), '[\p{{L}}\p{{N}}]+')) AS word FROM articles) GROUP BY word",
+        "word_lemma_pairs": _PAIRS + "SELECT rec_id, part, pos, word, lemma FROM lemmatized",
+        "lemma_frequency": _PAIRS + "SELECT lemma, count(*) AS freq FROM lemmatized GROUP BY lemma",
+        "compression_rate": _PAIRS + "SELECT count(DISTINCT lemma) AS n_lemmas, count(*) AS n_words, round(count(DISTINCT lemma) / count(*), 9) AS rate FROM lemmatized",
+        "page_keys": r"""
+            SELECT path, regexp_extract(html, 'class="style88">[^<]*/(\d+)\.htm', 1) AS article, regexp_extract(html, '<title>[^<]*?BE(?:\s|&nbsp;)+\w+(?:\s|&nbsp;)+(\d+)', 1) AS bulletin,
+                   regexp_extract(html, 'class="style15">[^<]*?(\d{1,2}/\d{2}/\d{4})', 1) AS date, len(regexp_extract_all(html, '<img[^>]*margin-bottom:5px')) AS n_images
+            FROM raw_articles""",
+        "query_tokens": "WITH " + _ASKED + "SELECT query_id, pos, token FROM asked WHERE word <> ''",
+        "entity_tokens": "WITH " + _ASKED + "SELECT query_id, pos, token FROM asked WHERE entity",
+        "normalized_tokens": "WITH " + _ASKED + "SELECT query_id, pos, token, word FROM asked WHERE word <> ''",
+        "normalized_words": f"SELECT line_no, {_NORMAL.format('word')} AS word, strip_accents(lemma) AS lemma FROM lexicon",
+        "lexicon_votes": "WITH " + _LEXICON + "SELECT word, lemma, votes FROM lexicon_votes",
+        "lexicon": "WITH " + _LEXICON + "SELECT word, lemma FROM known",
+        "lexicon_lookup": "WITH " + _ASKED.strip() + ", " + _LEXICON + "SELECT query_id, pos, word, lemma FROM asked JOIN known USING (word)",
+        "prefix_candidates": _CANDIDATES + """
+            SELECT query_id, pos, rank, ranked.word, lemma, prefix_len, round(prefix_ratio, 6) AS prefix_ratio, distance FROM asked
+            JOIN ranked ON asked.word = target AND asked.seuil_min = ranked.seuil_min AND asked.seuil_max = ranked.seuil_max AND asked.seuil_proximite = ranked.seuil_proximite WHERE NOT entity""",
+        "best_correction": _CANDIDATES + """
+            SELECT query_id, pos, ranked.word, lemma, distance FROM asked
+            JOIN ranked ON asked.word = target AND asked.seuil_min = ranked.seuil_min AND asked.seuil_max = ranked.seuil_max AND asked.seuil_proximite = ranked.seuil_proximite WHERE NOT entity AND rank = 1""",
+        "query_analysis": _ANALYSIS + "SELECT query_id, pos, token, status, correction, lemma, candidates FROM results",
+        "query_report": _ANALYSIS + """
+            SELECT query_id, pos, '- token=' || token || ' | statut=' || status || ' | correction=' || coalesce(correction, 'None') || ' | lemme=' || coalesce(lemma, 'None')
+                || ' | candidats=[' || coalesce(array_to_string([chr(39) || c || chr(39) FOR c IN candidates], ', '), '') || ']' AS line FROM results""",
+    }
