@@ -50,18 +50,20 @@ PARTNERS, PARTNER_SHARE = 3, 0.1
 
 
 def distance(a: str, b: str, most: int = 1) -> int:
-    """Edit distance with transpositions, or ``most`` + 1 if it is larger. A ? stands for any character or none."""
+    """Edit distance with transpositions, or ``most`` + 1 if it is larger. A ? stands for one lost character; a word with one
+    matches another that has some character there, and no further edit is allowed: what is lost could tell two names apart."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most + a.count("?") + b.count("?"):
+    if "?" in a or "?" in b:
+        return 0 if len(a) == len(b) and all(x == y or "?" in x + y for x, y in zip(a, b)) else most + 1
+    if abs(len(a) - len(b)) > most:
         return most + 1
     before, now = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        row = [i - a[:i].count("?")]
+        row = [i]
         for j, y in enumerate(b, 1):
-            free = x == "?" or y == "?"
-            d = min(now[j] + (x != "?"), row[j - 1] + (y != "?"), now[j - 1] + (0 if x == y or free else 1))
-            if before is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+            d = min(now[j] + 1, row[j - 1] + 1, now[j - 1] + (x != y))
+            if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
             row.append(d)
         before, now = now, row
@@ -341,7 +343,8 @@ def signatories(articles: DataFrame, col: str = "auteur") -> DataFrame:
     count once: spellings are made distinct before anything else, so a name in a third of all rows is one row here.
     """
     spellings = articles.filter(F.length(F.trim(F.col(col))) > 0).select(F.col(col).alias("auteur")).distinct()
-    parsed = cut(_profiles(spellings))
+    # Parsing is work for Python, not bytes to move: adaptive execution would put all spellings into one task.
+    parsed = cut(_profiles(spellings.repartition(spellings.sparkSession.sparkContext.defaultParallelism)))
     profiles = parsed.groupBy("vid").agg(F.first("kind").alias("kind"), F.min("words").alias("words"), F.min("initials").alias("initials"), F.array_distinct(F.flatten(F.collect_set("acronyms"))).alias("acronyms")).filter("kind != ''")
     # Partners of a word: with how many different words it makes up names.
     pairs = profiles.filter("kind = 'p'").select(F.col("words")[0].alias("x"), F.col("words")[1].alias("y"))
