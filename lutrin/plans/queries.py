@@ -275,7 +275,6 @@ def oracle_sql() -> dict[str, str]:
         "document_frequency": _TF + "SELECT term, df FROM stats",
         "tfidf_per_document": _TF + "SELECT doc_key, term, tf, df, round(tf * ln(n / df), 6) AS score FROM counts JOIN stats USING (term), size",
         "tfidf_max": _TF + "SELECT term, round(best * ln(n / df), 6) AS score FROM stats, size",
-        "tfidf_report": _TF + "SELECT printf('%-20s %-20.15f', term, best * ln(n / df)) AS line FROM stats, size",
         "anti_dictionary": _TF + "SELECT term AS token, '' AS subst FROM stats, size WHERE best * ln(n / df) <= 0.0001",
         "anti_dictionary_by_df": _TF + "SELECT term AS token, '' AS subst FROM stats, size WHERE df = n",
         "lemma_tfidf_max": _LEMMA_TF + "SELECT term, round(best * ln(n / df), 6) AS score FROM lemma_stats, size",
