@@ -44,16 +44,21 @@ def sentences(line: str) -> list[str]:
     return [s for s in _END.split(line) if s]
 
 
-def terms(text: str) -> list[str]:
-    """Words of a text and pairs of neighbours, without the words that join them."""
-    words = [w for w in fold_words(text) if len(w) > 1 and w not in _JOINTS and not w.isdigit()]
-    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+def kept_words(text: str) -> list[str]:
+    """Words of a text without the ones that join the parts of a term."""
+    return [w for w in fold_words(text) if w not in _JOINTS and len(w) > 1 and not w.isdigit()]
+
+
+def terms(text: str) -> list[str | tuple[str, str]]:
+    """Words of a text and pairs of neighbours."""
+    words = kept_words(text)
+    return words + list(zip(words, words[1:]))
 
 
 class Model:
     """Weights of complement naive Bayes, and the calibration of each area's margin."""
 
-    def __init__(self, areas: list[str], vocabulary: dict[str, int], labelled):
+    def __init__(self, areas: list[str], vocabulary: dict, labelled):
         self.areas, self.vocabulary, self.labelled = areas, vocabulary, labelled
         self.scale, self.shift = None, None
         self.learn(labelled)
@@ -88,8 +93,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margins(rows) * self.scale + self.shift, -30, 30)))
 
     def numbers(self, text: str) -> list[int]:
+        """Numbers of the known terms of a text. A pair is known only if both its words are."""
         v = self.vocabulary
-        return [v[t] for t in terms(text) if t in v]
+        words = kept_words(text)
+        found = [v.get(w) for w in words]
+        out = [i for i in found if i is not None]
+        for k in range(len(words) - 1):
+            if found[k] is not None and found[k + 1] is not None and (i := v.get((words[k], words[k + 1]))) is not None:
+                out.append(i)
+        return out
 
 
 def calibrate(margin, y) -> tuple[float, float]:
@@ -129,7 +141,7 @@ def train(samples: list[tuple[str, str]]) -> Model | None:
         return None
     # Calibration looks at sentences, as the use does; a sample's sentences carry its label.
     units = [(i, s, areas.index(y)) for i, (text, y) in enumerate(samples) for line in text.split("\n") for s in sentences(line) or ([line] if line.strip() else [])]
-    vocabulary: dict[str, int] = {}
+    vocabulary: dict = {}
     rows = [[vocabulary.setdefault(t, len(vocabulary)) for t in terms(s)] for _, s, _ in units]
 
     def counts(keep) -> np.ndarray:
@@ -222,7 +234,8 @@ def subject_shares(articles: DataFrame, samples: DataFrame, pages: DataFrame, id
                 ids, rows, ends = [], [], []
                 for rid, text in zip(part["rid"], part["text"]):
                     if rid is not None and text and model is not None:
-                        found = [s for line in p3.clean_lines(text) if (x := sentences(line)) and lines.score(line) > 0 for s in x]
+                        # A line is wholly content or furniture, so its first sentence tells what it is.
+                        found = [s for line in p3.clean_lines(text) if (x := sentences(line)) and lines.score(x[0]) > 0 for s in x]
                         if found:
                             ids.append(rid)
                             rows += [model.numbers(s) for s in found]

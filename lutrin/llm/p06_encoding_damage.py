@@ -34,7 +34,7 @@ LOOKALIKES = frozenset("асеорхуіѕјԁһԛԝӏАВСЕІЈКМНОРЅТ
 
 #: What a text must hold for either repair to have anything to do: a run of characters beyond ASCII, or an odd one.
 _RUN = re.compile(r"[^\x00-\x7f]{2}")
-_STRAY = re.compile(f"(?<=[^\\W\\d_])[{_CAPITAL}]|[^\\x00-\\x7f{_SMALL}{_CAPITAL}{_SIGNS}⁰-₟]")
+_STRAY = re.compile(f"[^\\x00-\\x7f{_SMALL}{_SIGNS}⁰-₟](?:(?<![{_CAPITAL}])|(?<=[^\\W\\d_].))")
 #: Marks of a lost character: question marks within, at the end or at the beginning of a word, or doubled.
 _LOST = re.compile(
     r"\?(?:\?|(?<=[^\W\d_]\?)(?=[^\W\d_]|[,.;:]|[ '’-][a-zà-ÿ]|\s*$)|(?:(?<=[\s'’(«-]\?)|(?<=^\?))(?=[^\W\d_])|(?<=[^\W\d_] \?)(?= [a-zà-ÿ])|(?:(?<=\n\?)|(?<=^\?))(?= [^\W\d_]))",

@@ -40,7 +40,7 @@ PROTOTYPES = {
 UNSEEN = "­᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤﻿"
 
 _PLAIN = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿœŒŸ«»‘’“”„…–—•·°²³¹½¼¾€£§©®™×±µ⁰-₟]*")
-_WORD = re.compile(r"(?:[^\W_]|[̀-ͯ­᠎​-‏⁠-⁤﻿])+")
+_WORD = re.compile(r"[^\W_](?:[^\W_]|[̀-ͯ­᠎​-‏⁠-⁤﻿])*")
 
 
 @cache
@@ -63,6 +63,20 @@ def prototype(ch: str, letters: bool = True) -> str:
     return ch
 
 
+class _Outside(dict):
+    """Prototypes by code point, filled as they are asked for; letters stay."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = got = chr(code) if code < 0x80 else prototype(chr(code), False)
+        return got
+
+
+_OUTSIDE = _Outside()
+#: In a text with joined emoji, joiners belong to them.
+_EMOJI = re.compile("[\u2190-\u2bff\ufe0f\U0001f000-\U0001faff]\u200d")
+_KEEP_EMOJI = _Outside({0x200D: "\u200d"})
+
+
 def _word_form(m: re.Match) -> str:
     word = m[0]
     if word.isascii():
@@ -78,14 +92,8 @@ def form(text: str | None) -> str | None:
     if not text or _PLAIN.fullmatch(text):
         return text
     words = unicodedata.normalize("NFC", _WORD.sub(_word_form, text))
-    # Outside of words: spaces, hyphens, wide punctuation, unseen characters. A joiner between emoji belongs to them.
-    out = []
-    for i, c in enumerate(words):
-        if c == "‍" and i and ord(words[i - 1]) > 0x2190:
-            out.append(c)
-        else:
-            out.append(c if c.isascii() else prototype(c, False))
-    return unicodedata.normalize("NFC", "".join(out))
+    # Outside of words: spaces, hyphens, wide punctuation, unseen characters.
+    return unicodedata.normalize("NFC", words.translate(_KEEP_EMOJI if "\u200d" in words and _EMOJI.search(words) else _OUTSIDE))
 
 
 def skeleton(text: str | None) -> str | None:
