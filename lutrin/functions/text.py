@@ -100,7 +100,7 @@ def common_prefix_length(a: Column, b: Column) -> Column:
     # sequence(1, 0) counts down, so an empty side needs an array of its own.
     steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     same = F.filter(steps, lambda i: F.substring(a, 1, i) == F.substring(b, 1, i))
-    return F.when(n.isNotNull(), F.size(same))
+    return F.when(a.isNotNull() & b.isNotNull(), F.size(same))
 
 
 def full_text(title: str = "titre", body: str = "texte") -> Column:
