@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from lutrin.functions.stemmer import french_stem
 from lutrin.functions.text import alnum_words, full_text, is_alpha, tokens, words
+from lutrin.session import ship
 
 #: Highest score of a term in the anti-dictionary. Fixed value.
 SEUIL = 0.0001
@@ -120,11 +121,13 @@ def word_counts(df: DataFrame) -> DataFrame:
 
 def stem_frequency(df: DataFrame) -> DataFrame:
     """(stem, n): occurrences of French stems. Words are counted first, so each different one is stemmed once."""
+    ship(df.sparkSession)
     return word_counts(df).select(french_stem("word").alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 def word_stems(df: DataFrame) -> DataFrame:
     """(word, stem) of each different word."""
+    ship(df.sparkSession)
     return word_counts(df).select("word", french_stem("word").alias("stem"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,27 @@ def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "1
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package's sources to the executors, once for each application, and returns ``spark``.
+
+    Functions that run in Python workers are found by name there, wherever the driver was started. The archive is served by
+    the driver like any added file; no executor reads the driver's folder.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = os.path.join(tempfile.mkdtemp(prefix="lutrin-"), f"{package.name}-sources.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        sc.addPyFile(archive)
+        _shipped.add(sc.applicationId)
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint.
 

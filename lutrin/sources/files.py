@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lutrin.functions.html import RECORD, extractor
 from lutrin.functions.text import trim_unicode
+from lutrin.session import ship
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +23,7 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def articles_of(pages: DataFrame, html_col: str = "html", strict_images: bool = False) -> DataFrame:
     """The article records of pages, other columns kept. Each page is parsed once. A null page gives a record of nulls."""
+    ship(pages.sparkSession)
     keep = [c for c in pages.columns if c != html_col and c not in RECORD.fieldNames()]
     record = pages.select(*keep, extractor(strict_images)(F.col(html_col)).alias("record"))
     return record.select(*keep, "record.*")
