@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lutrin.session import cut
+from lutrin.session import cut, ship
 
 __all__ = ["BATCH_ROWS", "cut", "fold_words", "map_rows", "strip_marks"]
 
@@ -42,6 +42,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterator[d
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    ship(df.sparkSession)
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
     names = kind.fieldNames()
