@@ -271,8 +271,9 @@ def _profiles(auteurs: DataFrame) -> DataFrame:
 def _blocks(profiles: DataFrame) -> DataFrame:
     """(strong, weaker) comparisons within blocks: rows (a, b, far) of cluster ids; far is -1 for a strong match.
 
-    Blocks stream by in order, full profiles first. Each is compared with the block's leaders, profiles that didn't match an
-    earlier one, so a task holds only those, and equal spellings, already one profile, are never paired.
+    Blocks stream by in order, full profiles first. Equal spellings are one profile by then and a block's key is most of a name,
+    so a block holds the different spellings of what looks like one entity. A profile gives one link for each cluster it
+    matches, never one for each pair; a task holds the profiles of the block at hand.
     """
 
     def enter():
@@ -304,15 +305,13 @@ def _blocks(profiles: DataFrame) -> DataFrame:
                                 seen.add((other, d))
                                 out.append((cid, other, d))
                         continue
-                    matched = False
+                    # One link to each cluster it matches. It stays itself, as it may match what the earlier ones don't.
+                    linked = {cid}
                     for other, q in leaders:
-                        if alike(p, q):
-                            matched = True
-                            if other != cid:
-                                out.append((cid, other, -1))
-                    # A profile with initials or an acronym to offer stays, though it matched.
-                    if not matched or p[0] == "o" and key.startswith("a "):
-                        leaders.append((cid, p))
+                        if other not in linked and alike(p, q):
+                            linked.add(other)
+                            out.append((cid, other, -1))
+                    leaders.append((cid, p))
                 yield out
 
         return run
