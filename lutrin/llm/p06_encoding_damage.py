@@ -101,7 +101,8 @@ def _undo_multibyte(text: str, codec: str) -> tuple[str, int]:
         out, last = [], 0
         for a, b in spans(codes):
             got = bytes(codes[a:b]).decode("utf-8")
-            if all(map(_likely, got)):
+            # Letters that look Latin, put in for them, may happen to be well formed too.
+            if all(map(_likely, got)) and not LOOKALIKES.issuperset(run[a:b]):
                 out += [run[last:a], got]
                 last, n = b, n + len(got)
         return "".join(out) + run[last:]
