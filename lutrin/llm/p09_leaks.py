@@ -20,7 +20,7 @@ BLOCK = 2
 #: Characters of items searched for in one pass over the corpus, which bounds what is broadcast. More items take more passes.
 PASS_CHARS = 8_000_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->|\]\([^()\s]{1,500}\)|\[/?[A-Za-z]{1,12}\]|&(?:[A-Za-z]{2,8}|#\d{1,7});", re.S)
+_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->|\]\([^()\s]{1,500}\)|\[/?(?:b|i|u|s|em|strong|code|quote|url)(?:=[^\[\]]{0,200})?\](?!\()|&(?:[A-Za-z]{2,8}|#\d{1,7});", re.S)
 
 
 def word_views(text: str) -> list[list[str]]:
