@@ -17,6 +17,8 @@ from lutrin.session import ship
 
 #: Highest score of a term in the anti-dictionary. Fixed value.
 SEUIL = 0.0001
+#: Documents in one block of a list of postings, about.
+LIST = 100_000
 
 
 def term_frequency(df: DataFrame, doc_key: str = "bulletin", text: Column | None = None) -> DataFrame:
@@ -108,10 +110,16 @@ def inverted_index(df: DataFrame, lemmas: DataFrame, doc_key: str = "bulletin",
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """(lemma, n_docs, postings): ``doc_id: tf`` of each lemma, by document. A lemma's list has an entry for each document."""
+    """(lemma, block, n_docs, postings): ``doc_id: tf`` of each lemma, by document.
+
+    A lemma of more than LIST documents has its list in several blocks, documents spread over them by hash, so no row and no
+    task holds a list that grows with the collection; others have block 0 only. ``n_docs`` counts the whole lemma.
+    """
+    sizes = index.groupBy("lemma").agg(F.count("*").alias("n_docs"))
+    block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / LIST)).cast("int")
     entry = F.sort_array(F.collect_list(F.struct("doc_id", "tf")))
     text = F.array_join(F.transform(entry, lambda e: F.concat(e["doc_id"], F.lit(": "), e["tf"].cast("string"))), ", ")
-    return index.groupBy("lemma").agg(F.count("*").alias("n_docs"), text.alias("postings"))
+    return index.join(sizes, "lemma").groupBy("lemma", block.alias("block"), "n_docs").agg(text.alias("postings"))
 
 
 def word_counts(df: DataFrame) -> DataFrame:

@@ -280,7 +280,7 @@ def oracle_sql() -> dict[str, str]:
         "lemma_tfidf_max": _LEMMA_TF + "SELECT term, round(best * ln(n / df), 6) AS score FROM lemma_stats, size",
         "lemma_anti_dictionary": _LEMMA_TF + "SELECT term AS token, '' AS subst FROM lemma_stats, size WHERE best * ln(n / df) <= 0.0001",
         "inverted_index": _BODY_TF + _INDEX,
-        "postings": _BODY_TF + f"SELECT lemma, count(*) AS n_docs, string_agg(doc_id || ': ' || tf, ', ' ORDER BY doc_id) AS postings FROM ({_INDEX}) GROUP BY lemma",
+        "postings": _BODY_TF + f"SELECT lemma, 0 AS block, count(*) AS n_docs, string_agg(doc_id || ': ' || tf, ', ' ORDER BY doc_id) AS postings FROM ({_INDEX}) GROUP BY lemma",
         "word_frequency": rf"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower({_TEXT}), '[\p{{L}}\p{{N}}]+')) AS word FROM articles) GROUP BY word",
         "word_lemma_pairs": _PAIRS + "SELECT rec_id, part, pos, word, lemma FROM lemmatized",
         "lemma_frequency": _PAIRS + "SELECT lemma, count(*) AS freq FROM lemmatized GROUP BY lemma",

@@ -8,7 +8,7 @@ PAGE = """<html><head><title>9/08/2012&nbsp;&gt; BE France&nbsp;258&nbsp;&gt; Un
 <p class="style96"><span class="style95">Un four &agrave; micro-ondes.<br /><br />Cette <b>partie</b> reste.</span>
 <div align="center"><a href="x"><img src="a.jpg" style="margin-bottom:5px"></a><br /><span class="style21">L&eacute;gende</span></div></p>
 <table><tr><td><table><tr><td><p><span class="style28">Pour en savoir plus, contacts :</span></p></td><td><p><span class="style85">Labo - t&eacute;l. : 1</span></p></td></tr>
-<tr><td><p><span class="style28">R&eacute;dacteur :</span></p></td><td><p><span class="style95">ADIT - Jean-Luc Petit - email : <a href="m">x@y</a></span></p></td></tr></table></td></tr></table>
+<tr><td><p><span class="style28">R&eacute;dacteur :</span></p></td><td><p><span class="style95">AVT - Jean-Luc Petit - email : <a href="m">x@y</a></span></p></td></tr></table></td></tr></table>
 <p><span class="style15">BE France num&eacute;ro 258 (9/08/2012) - http://www.example.org/actualites/67068.htm</span></p></body></html>"""
 
 

@@ -52,6 +52,14 @@ def test_index_and_postings(spark, docs):
     assert as_dict(index.postings(inv), "lemma", "postings")[("le",)] == "a: 4, b: 1"
 
 
+def test_long_lists_are_split(spark, monkeypatch):
+    monkeypatch.setattr(index, "LIST", 10)
+    inv = spark.range(95).selectExpr("'eau' AS lemma", "CAST(id AS STRING) AS doc_id", "1L AS tf")
+    rows = index.postings(inv).collect()
+    assert len(rows) > 5 and {r.n_docs for r in rows} == {95}
+    assert sorted(int(e.split(":")[0]) for r in rows for e in r.postings.split(", ")) == list(range(95))
+
+
 def test_pairs_and_rate(spark, docs):
     lemmas = spark.createDataFrame([("chaud", "chaleur")], "word string, lemma string")
     pairs = index.word_lemma_pairs(docs.filter("rec_id = 2 or rec_id = 4"), lemmas)
