@@ -18,7 +18,7 @@ from .common import fold_words, map_rows
 #: Words in a block of the shift table.
 BLOCK = 2
 #: Characters of items searched for in one pass over the corpus, which bounds what is broadcast. More items take more passes.
-PASS_CHARS = 8_000_000
+PASS_CHARS = 1_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->|\]\([^()\s]{1,500}\)|\[/?(?:b|i|u|s|em|strong|code|quote|url)(?:=[^\[\]]{0,200})?\](?!\()|&(?:[A-Za-z]{2,8}|#\d{1,7});", re.S)
 

@@ -18,6 +18,8 @@ RUN = 5
 SHARE = 0.4
 #: Labelled rows the list is learned from, at most. Labels follow from the definition, the measures are the grounds.
 SAMPLE_ROWS = 2000
+#: Characters of a text that may be in the sample; all texts are measured whole.
+SAMPLE_CHARS = (200, 20_000)
 MEASURES = ["repeated_share", "line_share", "sentence_share", "top_pair_share", "distinct_share", "n_words"]
 SCHEMA = "rid long, repeated_share double, line_share double, sentence_share double, top_pair_share double, distinct_share double, n_words long"
 
@@ -160,7 +162,7 @@ def training_rows(df: DataFrame, id_col: str, text_col: str) -> list[tuple[dict[
     Every text also comes with a part of it said again, in a share that grows from row to row, so both labels are
     there whatever the corpus holds; rows whose share lies between 0.35 and 0.45, which don't occur, are left out.
     """
-    texts = [r[0] for r in df.select(text_col).filter(F.length(text_col) > 200).limit(SAMPLE_ROWS).collect()]
+    texts = [r[0] for r in df.select(text_col).filter(F.length(text_col).between(*SAMPLE_CHARS)).limit(SAMPLE_ROWS).collect()]
     rows = []
     for k, text in enumerate(texts):
         words = text.split()
@@ -175,7 +177,7 @@ def training_rows(df: DataFrame, id_col: str, text_col: str) -> list[tuple[dict[
 def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The measures of every row, and ``rule``: the number of the learned rule that finds it repetitive, or 0.
 
-    Without training rows (an empty table, or no text of over 200 characters) the list is the definition itself.
+    Without training rows (an empty table, or only very short or long texts) the list is the definition itself.
     """
     rules = learn(training_rows(df, id_col, text_col)) or [[("repeated_share", ">=", SHARE)]]
     return measures(df, id_col, text_col).withColumn("rule", as_column(rules))
