@@ -45,7 +45,7 @@ DOUBLES = frozenset("jean marie anne pierre".split())
 #: What turns a given name into its feminine; such neighbours are two people. Fixed values.
 ENDINGS = ("e", "le", "ne", "te", "se", "ette", "ine")
 #: A word counts as established beside another if it has at least this many partners, and this share of the other's.
-PARTNERS, PARTNER_SHARE = 3, 0.1
+PARTNERS, PARTNER_SHARE = 6, 0.1
 
 
 
@@ -167,7 +167,7 @@ def short_for(x: str, px: int, y: str, py: int) -> bool:
     a, b = sorted((x, y), key=len)
     if b in NICKNAMES.get(a, ()) or a in NICKNAMES.get(b, ()):
         return True
-    if min(px, py) >= max(2 * PARTNERS, 0.6 * max(px, py)):
+    if min(px, py) >= max(PARTNERS, 0.6 * max(px, py)):
         return False
     return len(a) >= 3 and len(b) - len(a) >= 2 and b.startswith(a) and b[len(a) :] not in ENDINGS and b[len(a)] != "-" and "-" not in a
 
@@ -345,8 +345,8 @@ def signatories(articles: DataFrame, col: str = "auteur") -> DataFrame:
     # Parsing is work for Python, not bytes to move: adaptive execution would put all spellings into one task.
     parsed = cut(_profiles(spellings.repartition(spellings.sparkSession.sparkContext.defaultParallelism)))
     profiles = parsed.groupBy("vid").agg(F.first("kind").alias("kind"), F.min("words").alias("words"), F.min("initials").alias("initials"), F.array_distinct(F.flatten(F.collect_set("acronyms"))).alias("acronyms")).filter("kind != ''")
-    # Partners of a word: with how many different words it makes up names.
-    pairs = profiles.filter("kind = 'p'").select(F.col("words")[0].alias("x"), F.col("words")[1].alias("y"))
+    # Partners of a word: with how many different words it makes up names, damaged ones aside.
+    pairs = profiles.filter("kind = 'p' and not contains(vid, '?')").select(F.col("words")[0].alias("x"), F.col("words")[1].alias("y"))
     partners = pairs.union(pairs.select("y", "x")).groupBy("x").agg(F.count_distinct("y").alias("n"))
     for i in (0, 1):
         profiles = profiles.withColumn("word", F.get("words", F.lit(i)))
@@ -379,7 +379,7 @@ def combinations(pairs: list[tuple[list[str], list[int]]]) -> list[Payload]:
     """
     words = {w: n for ws, ns in pairs for w, n in zip(ws, ns)}
     lead = max(words, key=lambda w: (words[w], w))
-    if words[lead] < 2 * PARTNERS:
+    if words[lead] < PARTNERS:
         return []
     given, names = {lead}, set()
     for ws, _ in pairs:

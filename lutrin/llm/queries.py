@@ -142,6 +142,37 @@ WITH words AS (
 )
 """
 
+_UNSEEN = r"[\x{00ad}\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}]"
+_FOLDED = r"regexp_extract_all(lower(strip_accents(regexp_replace({}, 'UNSEEN', '', 'g'))), '[\p{{L}}\p{{N}}]+')"
+
+
+def _folded(text: str) -> str:
+    return _FOLDED.format(text).replace("UNSEEN", _UNSEEN)
+
+
+#: Runs of ten words of documents and items, with mark-up and without it.
+_LEAKS = rf"""
+WITH views AS (
+    SELECT 'd' AS side, doc_id AS id, {_folded("text")} AS w FROM documents
+    UNION ALL SELECT 'd', doc_id, {_folded("regexp_replace(text, '</?[A-Za-z][^<>]{0,200}>', '', 'g')")} FROM documents WHERE contains(text, '<')
+    UNION ALL SELECT 'i', item_id, {_folded("text")} FROM benchmark_items
+), runs AS (
+    SELECT DISTINCT side, id, array_to_string(w[i : i + 9], ' ') AS run FROM (SELECT side, id, w, unnest(range(1, len(w) - 8)) AS i FROM views)
+)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM runs d JOIN runs i ON d.run = i.run AND d.side = 'd' AND i.side = 'i'
+"""
+_REPEATED = rf"""
+WITH words AS (
+    SELECT doc_id, {_folded("text")} AS w FROM documents
+), runs AS (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS nth
+    FROM (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words))
+), covered AS (
+    SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM runs WHERE nth > 1) GROUP BY doc_id
+)
+SELECT doc_id FROM covered JOIN words USING (doc_id) WHERE n >= 0.4 * len(w)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -149,5 +180,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _COUNTS + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p5_weights": _COUNTS + "SELECT rec_id, term, tf, n_docs, round((log2(1 + lam) + tfn * log2((1 + lam) / lam)) / (tfn + 1), 6) AS weight FROM weighed",
         "p5_found": _COUNTS + "SELECT rec_id, term FROM counts JOIN stats USING (term) WHERE tf >= 3 AND n_docs <= 5",
+        "p9_found": _LEAKS,
+        "p10_found": _REPEATED,
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }
