@@ -125,11 +125,13 @@ def _images(root: Node) -> list[dict[str, str]]:
     return out
 
 
-def extract(page: str | None, strict_images: bool = False) -> dict | None:
+def extract(page: str | None, strict_images: bool = False, article_from: str = "style88", first_title_node: bool = False, two_digit_days: bool = False) -> dict | None:
     """The record of a page; null for null. Fields that aren't found are '', an article number that isn't found is null.
 
     Where several places match: bulletin, rubrique, titre and auteur take the first, date and contact the last. ``texte`` has
-    only the text directly in its spans. ``strict_images`` leaves images empty, as a parser does that treats br as empty.
+    only the text directly in its spans. Variants: ``strict_images`` leaves images empty, as a parser does that treats br as
+    empty; ``article_from="style15"`` takes the number from the closing line instead of the address (last match, '' if none);
+    ``first_title_node`` takes the title's first own text as it is (null if none); ``two_digit_days`` knows no other dates.
     """
     if page is None:
         return None
@@ -142,17 +144,23 @@ def extract(page: str | None, strict_images: bool = False) -> dict | None:
     title = next((n.text() for n in root.walk() if n.tag == "title"), "")
     number = next((n for n in of("style88")), None)
     first = next((x for x in number.items if isinstance(x, str)), "") if number else ""
-    dates = [m[1] for n in of("style15") if (m := re.search(r"(\d{1,2}/\d{2}/\d{4})", n.text()))]
+    day = r"(\d{2}/\d{2}/\d{4})" if two_digit_days else r"(\d{1,2}/\d{2}/\d{4})"
+    dates = [m[1] for n in of("style15") if (m := re.search(day, n.text()))]
+    closing = [m[1] for n in of("style15") if (m := re.search(r"/(\d+)\.htm", n.text()))]
+    heading = next(iter(of("style17")), None)
+    titre = heading.stripped() if heading else ""
+    if first_title_node:
+        titre = next((x for x in heading.items if isinstance(x, str)), None) if heading else None
     headings = [t for n in of("style42") if not re.match(r"\d+/\d+/\d+", t := n.text().strip())]
     author, contact = _cell(root, "dacteur", False), _cell(root, "contact", True)
     who = re.search(r"-\s*(.+?)-\s*email", author.text(), re.S) if author else None
     pieces = [x for p in root.walk() if p.tag == "p" and p.attrs.get("class") == "style96" for n in p.walk() if n.tag == "span" and n.attrs.get("class") == "style95" for x in n.items if isinstance(x, str) and x != "\n"]
     return {
-        "article": m[1] if (m := re.search(r"/(\d+)\.htm$", first.strip())) else None,
+        "article": (closing[-1] if closing else "") if article_from == "style15" else m[1] if (m := re.search(r"/(\d+)\.htm$", first.strip())) else None,
         "bulletin": m[1] if (m := re.search(r"BE\s+\w+\s+(\d+)", title)) else "",
         "date": dates[-1] if dates else "",
         "rubrique": headings[0] if headings else "",
-        "titre": n.stripped() if (n := next(iter(of("style17")), None)) else "",
+        "titre": titre,
         "auteur": who[1].strip() if who else "",
         "texte": "".join(pieces),
         "images": [] if strict_images else _images(root),
@@ -160,12 +168,12 @@ def extract(page: str | None, strict_images: bool = False) -> dict | None:
     }
 
 
-def extractor(strict_images: bool = False):
-    """A vectorised function from pages to records."""
+def extractor(**variants):
+    """A vectorised function from pages to records; ``variants`` as in ``extract``."""
 
     @F.pandas_udf(RECORD)
     def run(pages: pd.Series) -> pd.DataFrame:
         empty = dict.fromkeys(RECORD.fieldNames())
-        return pd.DataFrame([extract(p, strict_images) or empty for p in pages], columns=RECORD.fieldNames())
+        return pd.DataFrame([extract(p, **variants) or empty for p in pages], columns=RECORD.fieldNames())
 
     return run

@@ -21,14 +21,20 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
 
 
-def articles_of(pages: DataFrame, html_col: str = "html", strict_images: bool = False) -> DataFrame:
-    """The article records of pages, other columns kept. Each page is parsed once. A null page gives a record of nulls."""
+def articles_of(pages: DataFrame, html_col: str = "html", **variants) -> DataFrame:
+    """The article records of pages, other columns kept. Each page is parsed once. A null page gives a record of nulls.
+    ``variants`` are those of ``lutrin.functions.html.extract``."""
     ship(pages.sparkSession)
     keep = [c for c in pages.columns if c != html_col and c not in RECORD.fieldNames()]
-    record = pages.select(*keep, extractor(strict_images)(F.col(html_col)).alias("record"))
+    record = pages.select(*keep, extractor(**variants)(F.col(html_col)).alias("record"))
     return record.select(*keep, "record.*")
 
 
+def image_lists(articles: DataFrame) -> DataFrame:
+    """``articles`` with the images as two parallel lists, images_url and images_legend."""
+    return articles.select("*", F.col("images.url").alias("images_url"), F.col("images.legend").alias("images_legend")).drop("images")
+
+
 def read_corpus(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
     """Article records from corpus XML (rows are ``document`` elements). Empty elements read back as ''.
 

@@ -44,3 +44,14 @@ def test_frame_of_pages(spark):
     rows = articles_of(spark.createDataFrame([("a", PAGE), ("b", None), ("c", "")], "path string, html string")).orderBy("path").collect()
     assert [r.bulletin for r in rows] == ["258", None, ""]
     assert rows[0].images[0].legend == "Légende"
+
+
+def test_variants(spark):
+    from lutrin.sources.files import image_lists
+
+    assert extract(PAGE, two_digit_days=True)["date"] == ""
+    assert extract(PAGE, article_from="style15")["article"] == "67068" and extract("", article_from="style15")["article"] == ""
+    assert extract(PAGE, first_title_node=True)["titre"] == " Un titre " and extract("", first_title_node=True)["titre"] is None
+    df = articles_of(spark.createDataFrame([("a", PAGE)], "path string, html string"), article_from="style15")
+    row = image_lists(df).first()
+    assert row.images_url == ["a.jpg"] and row.images_legend == ["Légende"] and row.article == "67068"
