@@ -47,10 +47,11 @@ def tfidf(df: DataFrame, doc_key: str = "bulletin") -> DataFrame:
     """(doc_key, term, tf, df, score) with score = tf * ln(N / df), no smoothing and no length norm.
 
     Terms of nearly all documents would be hot join keys; there are as many rows of one as documents, and adaptive execution
-    splits such a partition.
+    splits such a partition. Both sides read the same counts, so texts are split and shuffled once.
     """
     tf = term_frequency(df, doc_key)
-    stats = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # The total keeps the counts from being pruned on this side, else its exchange would differ and nothing be reused.
+    stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter("total > 0")
     score = F.col("tf") * F.log(n_documents(df, doc_key) / F.col("df"))
     return tf.join(stats, "term").select("doc_key", "term", "tf", "df", score.alias("score"))
 
