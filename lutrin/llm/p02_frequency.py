@@ -7,8 +7,9 @@ the document frequency is the cardinality of the union, so a record counts once
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +57,27 @@ def cardinality(container: bytes) -> int:
     return int.from_bytes(container[:-1], "big").bit_count() if len(container) % 2 else len(container) // 2
 
 
-def terms_of(*fields: str | None) -> list[str]:
-    """Maximal runs of letters (``\\p{L}``) of the lower-cased fields; a run ends with its field."""
+def term_counter() -> Callable[[Iterable[str | None]], dict[str, int]]:
+    """A function that counts the terms of a record's fields: maximal runs of letters (``\\p{L}``) of the lower-cased
+    fields; a run ends with its field."""
     import regex
 
-    found: list[str] = []
-    for f in fields:
-        if f:
-            found += regex.findall(r"\p{L}+", f.lower())
-    return found
+    # Runs without digits and the underscore may still hold numerals such as ²: only then the slower, exact pattern.
+    quick, exact = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+
+    def count(fields: Iterable[str | None]) -> dict[str, int]:
+        counts: dict[str, int] = {}
+        for f in fields:
+            if f:
+                f = f.lower()
+                words = quick.findall(f)
+                if not all(map(str.isalpha, words)):
+                    words = exact.findall(f)
+                for w in words:
+                    counts[w] = counts.get(w, 0) + 1
+        return counts
+
+    return count
 
 
 def containers(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
@@ -72,12 +85,7 @@ def containers(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
 
     def make():
         def run(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
-            import re
-
-            import regex
-
-            # \w without digits and the underscore is \p{L} and some marks and numerals: only texts with those need regex.
-            quick, exact = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+            count = term_counter()
             held: dict[int, dict[str, list]] = defaultdict(dict)
             n = 0
 
@@ -90,15 +98,7 @@ def containers(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
                 for rid, *fields in zip(part[id_col], *(part[c] for c in text_cols)):
                     if rid is None:
                         continue
-                    counts: dict[str, int] = {}
-                    for f in fields:
-                        if f:
-                            f = f.lower()
-                            words = quick.findall(f)
-                            if not all(map(str.isalpha, words)):
-                                words = exact.findall(f)
-                            for w in words:
-                                counts[w] = counts.get(w, 0) + 1
+                    counts = count(fields)
                     by, low = held[rid >> 16], rid & 0xFFFF
                     for w, k in counts.items():
                         if (e := by.get(w)) is None:

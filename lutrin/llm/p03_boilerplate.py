@@ -25,8 +25,7 @@ from .p07_lookalikes import form
 #: Labelled pages the weights are learned from, at most.
 SAMPLE_PAGES = 1500
 BUCKETS = 1 << 17
-#: Times the weights are fitted, each without the labels the pass before contradicts; rounds of the first pass, few enough
-#: that rare lines aren't learned by heart.
+#: Times the weights are fitted, each without the labels the pass before contradicts.
 PASSES = 2
 #: Classes of the spans that hold a page's body text and contacts; headlines are quoted by furniture and tell nothing. Fixed values.
 CONTENT_CLASSES = ("style95", "style85")
