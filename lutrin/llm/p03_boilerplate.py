@@ -35,28 +35,43 @@ _BREAK = re.compile(r"<br\s*/?>", re.I)
 _TAG = re.compile(r"<[^>]+>")
 
 
-def fields(line: str) -> list[str]:
-    """Tokens of a line: its words without what accents and damage change, pairs of words, and the tags of its layout."""
+class _Numbers(dict):
+    """A number for each token, remembered up to a bound."""
+
+    def __missing__(self, token: str) -> int:
+        n = zlib.crc32(token.encode())
+        if len(self) < 200_000:
+            self[token] = n
+        return n
+
+
+_NUMBER = _Numbers()
+#: Signs of layout that count as tags, each by its number in the line up to three.
+_SIGNS = ("|", ">", "*", "/", "-", "@", "(", "[", "<", "^", ":", '"')
+
+
+def buckets(line: str) -> list[int]:
+    """Buckets of a line's tokens: its words without what accents and damage change, pairs of words, which words begin and end
+    it, and the tags of its layout. A token's bucket is its number, or the two numbers mixed, modulo BUCKETS."""
     line = line.strip().lower()
     plain = line.replace("?", "").encode("ascii", "ignore").decode() if not line.isascii() or "?" in line else line
     tokens = _TOKEN.findall(plain)
-    words = [t if t[0].isalpha() else "0" for t in tokens if t[0].isalnum()]
-    signs = [t for t in tokens if not t[0].isalnum()]
-    out = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
-    out += ["^" + w for w in words[:1]] + ["^" + " ".join(words[:2])] + ["$" + w for w in words[-1:]]
+    words = [_NUMBER[t if t[0] > "9" else "0"] for t in tokens if t[0].isalnum()]
+    out = [w % BUCKETS for w in words]
+    out += [(a * 31 + b + 1) % BUCKETS for a, b in zip(words, words[1:])]
+    if words:
+        out += [(words[0] * 37 + 2) % BUCKETS, (words[-1] * 41 + 3) % BUCKETS]
+        if len(words) > 1:
+            out.append((words[0] * 43 + words[1] * 47 + 4) % BUCKETS)
     n = len(words)
     tags = [f"<words {n if n < 4 else 4 if n < 8 else 8 if n < 16 else 16}>", f"<end {line[-1:] if not line[-1:].isalnum() else 'word'}>", f"<begin {line[0] if line[:1] and not line[0].isalnum() else 'word'}>"]
-    for s in ("|", ">", "*", "/", "-", "@", "(", "[", "<", "^", ":", '"'):
-        if k := signs.count(s):
-            tags.append(f"<{s} {min(k, 3)}>")
-    tags += [f"<{s}>" for s in ("·", "»", "©", "«") if s in line]
-    if "http" in words or "www" in words:
+    if len(words) < len(tokens):
+        tags += [f"<{s} {min(k, 3)}>" for s in _SIGNS if (k := plain.count(s))]
+    if not line.isascii():
+        tags += [f"<{s}>" for s in "·»©«" if s in line]
+    if "http" in line or "www" in line:
         tags.append("<link>")
-    return out + tags
-
-
-def buckets(line: str) -> list[int]:
-    return [zlib.crc32(f.encode()) % BUCKETS for f in dict.fromkeys(fields(line))]
+    return list(dict.fromkeys(out + [_NUMBER[t] % BUCKETS for t in tags]))
 
 
 def clean_lines(text: str) -> list[str]:
@@ -89,6 +104,7 @@ class Weights:
 
     def __init__(self, weight, bias: float):
         self.weight, self.bias = weight, bias
+        self.of = None if weight is None else weight.tolist().__getitem__
         self.known: dict[str, float] = {}
 
     def score(self, line: str) -> float:
@@ -96,7 +112,7 @@ class Weights:
         if self.weight is None:
             return 1.0
         if (s := self.known.get(line)) is None:
-            s = self.bias + float(self.weight[buckets(line)].sum())
+            s = self.bias + sum(map(self.of, buckets(line)))
             if len(self.known) < 100_000:
                 self.known[line] = s
         return s
