@@ -234,8 +234,8 @@ def subject_shares(articles: DataFrame, samples: DataFrame, pages: DataFrame, id
                 ids, rows, ends = [], [], []
                 for rid, text in zip(part["rid"], part["text"]):
                     if rid is not None and text and model is not None:
-                        # A line is wholly content or furniture, so its first sentence tells what it is.
-                        found = [s for line in p3.clean_lines(text) if (x := sentences(line)) and lines.score(x[0]) > 0 for s in x]
+                        # The weights were learned on whole lines, so a line is judged by all of it.
+                        found = [s for line in p3.clean_lines(text) if (x := sentences(line)) and lines.score(line) > 0 for s in x]
                         if found:
                             ids.append(rid)
                             rows += [model.numbers(s) for s in found]

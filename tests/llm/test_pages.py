@@ -91,3 +91,16 @@ def test_subjects_edges(spark, tables):
     assert [(r.rec_id, r.subject) for r in p4.subjects(df, *args).collect()] == [(1, "droit")]
     assert p4.subjects(df.limit(0), *args).count() == 0
     assert p4.subjects(df, tables["subject_samples"].limit(0), args[1]).count() == 0
+
+
+def test_subjects_judge_whole_lines(spark, tables, monkeypatch):
+    import numpy as np
+
+    weight = np.zeros(p3.BUCKETS, dtype=np.float32)
+    for word, w in (("haut", -1.0), ("tribunal", 3.0), ("accueil", -9.0)):
+        weight[p3._NUMBER[word] % p3.BUCKETS] = w
+    monkeypatch.setattr(p3, "weights", lambda *_: p3.Weights(weight, 0.0))
+    rows = [(1, "Haut. Le tribunal nuance le décret. Le greffier complète la plainte."), (2, "Le tribunal nuance le décret. Retour à l'accueil.")]
+    df = spark.createDataFrame(rows, "rec_id long, texte string")
+    got = {(r.rec_id, r.n_sentences) for r in p4.subject_shares(df, tables["subject_samples"], tables["raw_articles"]).collect()}
+    assert got == {(1, 3)}
