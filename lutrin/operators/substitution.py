@@ -3,32 +3,71 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lutrin.session import ship
+
 #: Lists up to this length become a fold of native expressions, longer ones a vectorised function.
 NATIVE = 100
 
 
+def _is_word(ch: str) -> bool:
+    return ch == "_" or unicodedata.category(ch)[0] in "LNM"
+
+
+@cache
+def _marks() -> str:
+    """All combining marks, as ranges of a character class."""
+    spans: list[list[int]] = []
+    for c in range(0x300, sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == "M":
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in spans)
+
+
+def bounded(token: str, quoted: str, word: str) -> str:
+    """Pattern of a whole token, by one rule in both engines: words are letters, digits, underscores and combining marks. An
+    end of the token that is one of these has none beside it, any other end has one beside it."""
+    before = f"(?<!{word})" if _is_word(token[0]) else f"(?<={word})"
+    return before + quoted + (f"(?!{word})" if _is_word(token[-1]) else f"(?={word})")
+
+
 def fold(col: Column, pairs: list[tuple[str, str]]) -> Column:
     """``col`` with each token replaced in order, whole words and any case. Spaces stay. Null gives null, '' gives ''.
 
     The order matters: what one replacement leaves is what the next one sees.
     """
     for token, subst in pairs:
-        col = F.regexp_replace(col, r"(?iuU)\b\Q" + token.replace(r"\E", r"\E\\E\Q") + r"\E\b", subst.replace("\\", "\\\\").replace("$", "\\$"))
+        quoted = r"\Q" + token.replace(r"\E", r"\E\\E\Q") + r"\E"
+        col = F.regexp_replace(col, "(?iu)" + bounded(token, quoted, r"[\p{L}\p{N}\p{M}_]"), subst.replace("\\", "\\\\").replace("$", "\\$"))
     return col
 
 
 def replacer(pairs: list[tuple[str, str]]):
     """The same as one vectorised function, for long lists."""
-    compiled = [(re.compile(rf"\b{re.escape(t)}\b", re.I), s) for t, s in pairs]
+    # Where nothing has a mark, Python's own boundary is the rule's, and much faster.
+    plain = [(re.compile(rf"\b{re.escape(t)}\b", re.I), s) for t, s in pairs]
+    substitutes = "".join(s for _, s in pairs)
+    mark, marked = re.compile(f"[{_marks()}]"), []
 
     def one(text: str | None) -> str | None:
         if text:
+            compiled = plain
+            if mark.search(text) or mark.search(substitutes):
+                if not marked:
+                    word = rf"[\w{_marks()}]"
+                    marked.extend((re.compile(bounded(t, re.escape(t), word), re.I), s) for t, s in pairs)
+                compiled = marked
             for pattern, subst in compiled:
                 text = pattern.sub(lambda m, s=subst: s, text)
         return text
@@ -55,5 +94,6 @@ def filtered_corpus(df: DataFrame, anti: DataFrame, text_cols: list[str] | None
     pairs = ordered_pairs(anti)
     if not pairs:
         return df
+    ship(df.sparkSession)
     change = (lambda c: fold(c, pairs)) if len(pairs) <= NATIVE else replacer(pairs)
     return df.withColumns({c: change(F.col(c)) for c in text_cols or ["titre", "texte"] if c in df.columns})

@@ -28,3 +28,14 @@ def test_list(spark):
     assert filtered_corpus(df, anti.limit(0)).first().titre == "un des deux"
     with pytest.raises(ValueError):
         ordered_pairs(anti, most=1)
+
+
+@pytest.mark.parametrize("n", [100, 101])
+def test_boundaries_at_both_lengths(spark, n):
+    # A combining mark belongs to its word, whichever engine the length of the list chooses.
+    texts = ["de\u0301but de la", "cote\u0301 COTE cote", "l'e\u0301te\u0301 l' e\u0301te\u0301", "a\u0327 a a_ a2 a² a", "de\u20dd de", "ete\u0301 e\u0301te"]
+    stop = ["de", "cote", "l'", "a", "ete\u0301", "e\u0301te", *(f"mot{i}" for i in range(n - 6))]
+    anti = spark.createDataFrame([(i, t, "") for i, t in enumerate(stop)], "ord int, token string, subst string")
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "rec_id int, titre string, texte string")
+    got = [r.titre for r in filtered_corpus(df, anti).orderBy("rec_id").collect()]
+    assert got == ["de\u0301but  la", "cote\u0301  ", "e\u0301te\u0301 l' e\u0301te\u0301", "a\u0327  a_ a2 a² ", "de\u20dd ", " "]
