@@ -46,7 +46,8 @@ DOUBLES = frozenset("jean marie anne pierre".split())
 ENDINGS = ("e", "le", "ne", "te", "se", "ette", "ine")
 #: A word counts as established beside another if it has at least this many partners, and this share of the other's.
 PARTNERS, PARTNER_SHARE = 6, 0.1
-
+#: Persons of a block compared one by one; in larger blocks an index finds those that can match, with the same result.
+INDEXED = 64
 
 
 def distance(a: str, b: str, most: int = 1) -> int:
@@ -227,8 +228,9 @@ def weak(p: Payload, q: Payload) -> int | None:
 
 
 def keys(p: Payload) -> set[str]:
-    """Blocks a profile enters. None is made of a given name alone, so no block is larger than what looks like one entity."""
-    kind, words, initials, acronyms, partners = p
+    """Blocks a profile enters. Either word of a person may be the surname, so both meet the other's initial, however many
+    partners they have."""
+    kind, words, initials, acronyms, _ = p
     if kind == "a":
         return {"a " + acronyms[0]}
     if kind == "o":
@@ -237,12 +239,11 @@ def keys(p: Payload) -> set[str]:
         return {"s " + x for x in shortened(words[0])}
     if kind == "i":
         return {f"i {x} {initials[0]}" for x in shortened(words[0])}
-    (a, b), (pa, pb) = words, partners
+    a, b = words
     out = {f"p {x} {b.replace('?', '')}" for x in shortened(a)} | {f"p {x} {a.replace('?', '')}" for x in shortened(b)}
-    for name, given, p_name, p_given in ((a, b, pa, pb), (b, a, pb, pa)):
-        if p_name <= max(20, p_given):  # a word of many partners is a given name
-            firsts = {given[0], *(full[0] for full in NICKNAMES.get(given, ()))}
-            out |= {f"i {x} {f}" for x in shortened(name) for f in firsts}
+    for name, given in ((a, b), (b, a)):
+        firsts = {given[0], *(full[0] for full in NICKNAMES.get(given, ()))}
+        out |= {f"i {x} {f}" for x in shortened(name) for f in firsts}
     return out | {"q " + _bare(words)}
 
 
@@ -251,6 +252,46 @@ def _bare(words: list[str]) -> str:
     return " ".join(sorted(re.sub(r"[aeiouyc?-]", "", w) for w in words))
 
 
+def _near(word: str) -> tuple[set[str], set[str]]:
+    """(what a word is kept under, what it is looked up by): equal words, words one edit apart and short forms share one."""
+    same = {"=" + x for x in shortened(word)} | {"~" + x for x in (word, *NICKNAMES.get(word, ()))}
+    begins = [word[:k] for k in range(3, len(word))]
+    return same | {"<" + word, *(">" + x for x in begins)}, same | {">" + word, *("<" + x for x in begins)}
+
+
+class Block:
+    """Full profiles of a block in order, and those of them a profile can match."""
+
+    def __init__(self):
+        self.leaders: list[tuple[str, Payload]] = []
+        self.index: dict[tuple[str, str], list[int]] = {}
+        self.damaged: list[int] = []
+        self.done = 0
+
+    def add(self, cid: str, p: Payload) -> None:
+        self.leaders.append((cid, p))
+
+    def near(self, p: Payload) -> list[tuple[str, Payload]]:
+        """All leaders that are alike, and few others. Persons that match have a word in common and the other words near
+        each other, unless one is damaged."""
+        if len(self.leaders) <= INDEXED or p[0] != "p" or "?" in "".join(p[1]):
+            return self.leaders
+        for i in range(self.done, len(self.leaders)):
+            kind, words = self.leaders[i][1][:2]
+            if kind == "p" and "?" in "".join(words):
+                self.damaged.append(i)
+            elif kind == "p":
+                for same, other in (words, words[::-1]):
+                    for k in _near(other)[0]:
+                        self.index.setdefault((same, k), []).append(i)
+        self.done = len(self.leaders)
+        found = set(self.damaged)
+        for same, other in (p[1], p[1][::-1]):
+            for k in _near(other)[1]:
+                found.update(self.index.get((same, k), ()))
+        return [self.leaders[i] for i in sorted(found)]
+
+
 def _profiles(auteurs: DataFrame) -> DataFrame:
     """(auteur, vid, kind, words, initials, acronyms) of each different spelling."""
 
@@ -271,8 +312,8 @@ def _profiles(auteurs: DataFrame) -> DataFrame:
 def _blocks(profiles: DataFrame) -> DataFrame:
     """(strong, weaker) comparisons within blocks: rows (a, b, far) of cluster ids; far is -1 for a strong match.
 
-    Blocks stream by in order, full profiles first. Equal spellings are one profile by then and a block's key is most of a name,
-    so a block holds the different spellings of what looks like one entity. A profile gives one link for each cluster it
+    Blocks stream by in order, full profiles first. Equal spellings are one profile by then and a block's key is most of a name
+    or a word and an initial; in large blocks only profiles that can match are compared. A profile gives one link for each cluster it
     matches, never one for each pair; a task holds the profiles of the block at hand.
     """
 
@@ -290,16 +331,16 @@ def _blocks(profiles: DataFrame) -> DataFrame:
 
     def meet():
         def run(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
-            block, leaders = None, []
+            block, full = None, Block()
             for part in parts:
                 out = []
                 for key, vid, cid, payload in zip(part["key"], part["vid"], part["cid"], part["payload"]):
                     if key != block:
-                        block, leaders = key, []
+                        block, full = key, Block()
                     p = unpack(payload)
                     if p[0] in "ia":
                         seen = set()
-                        for other, q in leaders:
+                        for other, q in full.leaders:
                             d = weak(p, q)
                             if d is not None and (other, d) not in seen:
                                 seen.add((other, d))
@@ -307,11 +348,11 @@ def _blocks(profiles: DataFrame) -> DataFrame:
                         continue
                     # One link to each cluster it matches. It stays itself, as it may match what the earlier ones don't.
                     linked = {cid}
-                    for other, q in leaders:
+                    for other, q in full.near(p):
                         if other not in linked and alike(p, q):
                             linked.add(other)
                             out.append((cid, other, -1))
-                    leaders.append((cid, p))
+                    full.add(cid, p)
                 yield out
 
         return run

@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -77,3 +78,31 @@ def test_nothing_to_name(spark):
     assert names.same_signatory(df).count() == 0
     assert names.signatories(df).count() == 2
     assert names.same_signatory(df.limit(0)).count() == 0
+
+
+GIVEN = "Adele Bernard Claire Damien Edith Fabrice Gaspard Hortense Igor Jules Karim Laurent Mathilde Nestor Octave Pascal Quentin Raoul Sophie Thibault Ursule Victor Wanda Xavier Yasmine".split()
+
+
+def test_common_surname(spark):
+    # More than 20 partners, and more than any of its given names: initials and nicknames still meet the full name.
+    got = resolve(spark, [*(f"{x} Martin" for x in GIVEN), "Zoé Martin", "Z. Martin", "Élisabeth Martin", "Babeth Martin"])
+    assert got == all_pairs(["Zoé Martin", "Z. Martin"], ["Babeth Martin", "Élisabeth Martin"])
+
+
+def test_large_block_finds_all_that_match():
+    r = random.Random(3)
+    base = [*names.NICKNAMES, *(x.lower() for x in GIVEN), "elisabeth", "isabelle", "isa", "mar", "martin", "martine", "marti?", "thomas"]
+
+    def word():
+        w = r.choice(base)
+        i = r.randrange(len(w))
+        return r.choice([w, w, w[:i] + w[i + 1 :] or w, w[:i] + r.choice("abe?") + w[i:], w[: max(i, 3)], w[:i] + w[i : i + 2][::-1] + w[i + 2 :]])
+
+    for _ in range(20):
+        block, surname = names.Block(), r.choice(base)
+        for n in range(names.INDEXED * 4):
+            p = ("p", [word(), r.choice([surname, surname, word()])], "", [], [r.randrange(30), r.randrange(30)])
+            r.shuffle(p[1])
+            want = [q for _, q in block.leaders if names.alike(p, q)]
+            assert [q for _, q in block.near(p) if names.alike(p, q)] == want
+            block.add(str(n), p)
