@@ -11,7 +11,7 @@ Initials and acronyms alone are weak: they join a profile only if no other one i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -415,21 +415,32 @@ def signatories(articles: DataFrame, col: str = "auteur") -> DataFrame:
 def combinations(pairs: list[tuple[list[str], list[int]]]) -> list[Payload]:
     """Each given name of a merged person with each of its surnames, without the pairs there are.
 
-    The cluster's word of most partners is a given name; in the other pairs the word that is a form of it is one. Clusters
-    whose words tell no given name, and pairs without a form of it, make up nothing.
+    Which word is the given name needn't be known: a word of most partners and those that are forms of it are one side, the words
+    beside them the other. Both sides lead once, as the forms of one may tell pairs apart that those of the other don't.
     """
     words = {w: n for ws, ns in pairs for w, n in zip(ws, ns)}
-    lead = max(words, key=lambda w: (words[w], w))
-    if words[lead] < PARTNERS:
-        return []
-    given, names = {lead}, set()
-    for ws, _ in pairs:
-        like = [w == lead or short_for(w, words[w], lead, words[lead]) or len(w) > 3 and distance(w, lead) <= 1 for w in ws]
-        if sum(like) == 1:
-            given.add(ws[like.index(True)])
-            names.add(ws[like.index(False)])
     known = {frozenset(ws) for ws, _ in pairs}
-    return [("p", [g, s], "", [], [words[g], words[s]]) for g in sorted(given) for s in sorted(names) if frozenset((g, s)) not in known]
+    made: dict[frozenset[str], Payload] = {}
+
+    def sides(lead: str) -> tuple[set[str], set[str]]:
+        own, others = {lead}, set()
+        for ws, _ in pairs:
+            like = [w == lead or short_for(w, words[w], lead, words[lead]) or len(w) > 3 and distance(w, lead) <= 1 for w in ws]
+            if sum(like) == 1:
+                own.add(ws[like.index(True)])
+                others.add(ws[like.index(False)])
+        return own, others
+
+    def most(some: Iterable[str]) -> str:
+        return max(some, key=lambda w: (words[w], w))
+
+    first = sides(most(words))
+    for own, others in (first, sides(most(first[1]))[::-1]) if first[1] else ():
+        for g in sorted(own):
+            for s in sorted(others):
+                if g != s and frozenset((g, s)) not in known:
+                    made.setdefault(frozenset((g, s)), ("p", [g, s], "", [], [words[g], words[s]]))
+    return list(made.values())
 
 
 def _combined(known: DataFrame) -> DataFrame:

@@ -106,3 +106,11 @@ def test_large_block_finds_all_that_match():
             want = [q for _, q in block.leaders if names.alike(p, q)]
             assert [q for _, q in block.near(p) if names.alike(p, q)] == want
             block.add(str(n), p)
+
+
+def test_merged_profile_of_rare_names_matches_more(spark):
+    # No word has many partners, and the last spelling is a neighbour of a combination only.
+    pairs = [(["isabelle", "valleran"], [1, 2]), (["isa", "valleran"], [1, 2]), (["isabelle", "vallaran"], [1, 1])]
+    assert {frozenset(p[1]) for p in names.combinations(pairs)} == {frozenset(("isa", "vallaran"))}
+    group = ["Isabelle Valleran", "Isa Valleran", "Isabelle Vallaran", "Isa Vallarann"]
+    assert resolve(spark, group) == all_pairs(group)
