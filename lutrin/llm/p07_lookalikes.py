@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows
@@ -149,3 +149,25 @@ def same_looking(df: DataFrame, text_col: str) -> DataFrame:
         return run
 
     return map_rows(counts, "skeleton string, n long", make).groupBy("skeleton").agg(F.count("*").alias("n_forms"), F.sum("n").alias("n_rows"))
+
+
+def look_alikes(df: DataFrame, text_cols: list[str]) -> DataFrame:
+    """(field, original, skeleton, n_rows, n_forms): every different value of ``text_cols`` with the skeleton of its group, the
+    rows that have it and the values of its field in the group, nulls left out.
+
+    Equal values are counted before they are mapped and shuffled by skeleton, as in ``same_looking``.
+    """
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("original")) for c in text_cols))).alias("v")).select("v.*")
+    counts = values.filter("original is not null").groupBy("field", "original").agg(F.count("*").alias("n_rows"))
+
+    def make():
+        def run(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
+            for part in parts:
+                yield [(f, v, skeleton(v), n) for f, v, n in zip(part["field"], part["original"], part["n_rows"])]
+
+        return run
+
+    found = map_rows(counts, "field string, original string, skeleton string, n_rows long", make)
+    # The digest stands for the skeleton where rows are sorted.
+    group = Window.partitionBy("field", F.sha2("skeleton", 256))
+    return found.withColumn("n_forms", F.count("*").over(group))

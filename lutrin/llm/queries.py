@@ -89,8 +89,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate words grouped by equal skeleton."""
-    return p07_lookalikes.same_looking(_table(spark, sf_dir, "candidates"), "word")
+    """Titles and texts of articles and candidate words with the skeleton of their group; equal ones look the same."""
+    texts = p07_lookalikes.look_alikes(_table(spark, sf_dir, "articles"), ["texte", "titre"])
+    words = p07_lookalikes.look_alikes(_table(spark, sf_dir, "candidates"), ["word"])
+    return texts.select(F.lit("articles").alias("tbl"), "*").unionByName(words.select(F.lit("candidates").alias("tbl"), "*"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 
 from lutrin.llm import p06_encoding_damage as p6
 from lutrin.llm import p07_lookalikes as p7
+from lutrin.llm import queries as q
 
 TEXT = "L'été à Noël : « où » est le cœur ? Ça coûte 3 € — dès février."
 
@@ -91,3 +92,15 @@ def test_frames(spark):
 def test_damage_is_spared(spark):
     df = spark.createDataFrame([(1, "Ã\xa0 la une"), (2, "à\xa0la une")], "rec_id long, titre string")
     assert [r.rec_id for r in p7.unified(df, "rec_id", ["titre"], only_changed=True).collect()] == [2]
+
+
+def test_groups_of_all_fields(spark, tmp_path):
+    articles = [(1, "Le соde", "Un tехte.\nFin"), (2, "Le code", "Un texte.\nFin"), (3, "Le code", None), (4, None, "")]
+    spark.createDataFrame(articles, "rec_id long, titre string, texte string").write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame([(1, "code"), (2, "соde"), (3, None)], "cand_id long, word string").write.parquet(f"{tmp_path}/candidates.parquet")
+    got = {(r.tbl, r.field, r.original, r.skeleton, r.n_rows, r.n_forms) for r in q.p7_groups(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("articles", "titre", "Le соde", "Le code", 1, 2), ("articles", "titre", "Le code", "Le code", 2, 2),
+        ("articles", "texte", "Un tехte.\nFin", "Un texte.\nFin", 1, 2), ("articles", "texte", "Un texte.\nFin", "Un texte.\nFin", 1, 2), ("articles", "texte", "", "", 1, 1),
+        ("candidates", "word", "code", "code", 1, 2), ("candidates", "word", "соde", "code", 1, 2),
+    }
