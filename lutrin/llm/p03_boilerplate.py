@@ -2,7 +2,8 @@
 
 A text is a sequence of tokens: words, and the tags of its layout (separators, bullets, missing full stops, line borders).
 Each token has a weight learned from labelled pages: words of content score positive, tags and words of furniture negative.
-One linear scan then finds the contiguous regions of maximal score (Ruzzo and Tompa); what lies outside is furniture.
+One linear scan then finds the contiguous regions of maximal score (Ruzzo and Tompa); what lies outside is furniture. As a line
+that scores negative is a border of regions, that is every line of score 0 or less: a classifier of lines.
 
 Labels come from the pages that articles were taken from: a line of an article that its page has in a content block is
 content, a line that the page has nowhere in its content is furniture, and so are the page's menu and footer.
