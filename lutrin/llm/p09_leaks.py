@@ -7,6 +7,7 @@ buckets by the hash of a pattern's last block select the patterns to try, and di
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
@@ -20,13 +21,25 @@ BLOCK = 2
 #: Characters of items searched for in one pass over the corpus, which bounds what is broadcast. More items take more passes.
 PASS_CHARS = 1_000_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>|<!--.*?-->|\]\([^()\s]{1,500}\)|\[/?(?:b|i|u|s|em|strong|code|quote|url)(?:=[^\[\]]{0,200})?\](?!\()|&(?:[A-Za-z]{2,8}|#\d{1,7});", re.S)
+#: Tags, comments, link targets, BBCode, entities, of any length; all but comments stop where the next could begin.
+_MARKUP = re.compile(
+    r"</?[A-Za-z][^<>]*>|<!--.*?-->|\]\([^()\s]+\)|\[/?(?:b|i|u|s|em|strong|code|quote|url)(?:=[^\[\]]*)?\](?!\()"
+    r"|&(?:[A-Za-z][A-Za-z0-9]*|#0*(?P<dec>\d{1,7})|#[xX]0*(?P<hex>[0-9A-Fa-f]{1,6}));",
+    re.S,
+)
+
+
+def _without(m: re.Match) -> str:
+    """What mark-up leaves: an entity its character, a link target a blank, the rest nothing."""
+    if m[0][0] != "&":
+        return " " if m[0][0] == "]" else ""
+    return html.unescape(f"&#{m['dec']};" if m["dec"] else f"&#x{m['hex']};" if m["hex"] else m[0])
 
 
 def word_views(text: str) -> list[list[str]]:
     """Words of a text; for one with mark-up also those of the text without it."""
     views = [fold_words(text)]
-    if ("<" in text or "[" in text or "&" in text) and (plain := _TAG.sub(lambda m: " " if m[0][0] in "]&" else "", text)) != text:
+    if ("<" in text or "[" in text or "&" in text) and (plain := _MARKUP.sub(_without, text)) != text:
         views.append(fold_words(plain))
     return views
 

@@ -90,6 +90,20 @@ def test_leaks(spark):
     assert p9.leaks(docs.limit(0), items).count() == 0 == p9.leaks(docs, items.limit(0)).count()
 
 
+def test_markup_of_any_length():
+    want = "quel lien unit l ete puis la greffe lorsque ulmo confirme".split()
+    long = "x" * 900
+    for text in (
+        f'Quel <b style="{long}">lien</b> unit l\'été puis la greffe lorsque Ulmo confirme',
+        f"Quel lien unit l'été puis [la](http://{long}) greffe lorsque Ulmo confirme",
+        f"Quel lien unit l'été puis [url={long}]la[/url] greffe lorsque Ulmo confirme",
+        "Quel&nbsp;lien unit l&rsquo;&eacute;t&#xE9; puis la greffe lors&shy;que &#00085;lmo confirme",
+    ):
+        assert want in p9.word_views(text)
+    # An item's entities are its letters as well, and a bare sign or an overlong number is no entity.
+    assert p9.word_views("AT&T &#" + "9" * 5000 + "; &x")[0] == p9.word_views("AT&T &#" + "9" * 5000 + "; &x")[-1]
+
+
 def test_passes(spark, monkeypatch):
     monkeypatch.setattr(p9, "PASS_CHARS", 10)
     items = spark.createDataFrame([(1, ITEM), (2, ITEM + " encore")], "item_id long, text string")
