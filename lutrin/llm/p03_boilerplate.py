@@ -1,9 +1,11 @@
 """Problem 3: page furniture mixed with main content.
 
-A text is a sequence of tokens: words, and the tags of its layout (separators, bullets, missing full stops, line borders).
-Each token has a weight learned from labelled pages: words of content score positive, tags and words of furniture negative.
-One linear scan then finds the contiguous regions of maximal score (Ruzzo and Tompa); what lies outside is furniture. As a line
-that scores negative is a border of regions, that is every line of score 0 or less: a classifier of lines.
+A field is a sequence of tokens: words, and the tags of its layout (separators, bullets, the border before each line with what
+the line begins and ends with). Each token has a score learned from labelled pages: words of content score positive, tags and
+words of furniture negative. One linear scan over the field finds the contiguous regions of largest total score, where every
+region costs OPEN: the best set of regions instead of the one best region, since furniture also stands between paragraphs. Regions
+begin and end at the border of a line, as a line is wholly furniture or wholly content; what lies outside of them is furniture. So
+a line of weak score stands or falls with its neighbours: among content it is content, alone it opens no region.
 
 Labels come from the pages that articles were taken from: a line of an article that its page has in a content block is
 content, a line that the page has nowhere in its content is furniture, and so are the page's menu and footer.
@@ -23,56 +25,90 @@ from .common import map_rows
 from .p06_encoding_damage import repair
 from .p07_lookalikes import form
 
-#: Labelled pages the weights are learned from, at most.
+#: Labelled pages the weights are learned from, at most, and texts taken from them; chosen by a hash of their paths and ids.
 SAMPLE_PAGES = 1500
+SAMPLE_TEXTS = 3000
+#: Characters of a page or a text that may be in the sample; all texts are read whole.
+SAMPLE_CHARS = 200_000
 BUCKETS = 1 << 17
 #: Times the weights are fitted, each without the labels the pass before contradicts.
 PASSES = 2
+#: Costs of a region from which the labelled texts choose.
+OPENS = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0)
 #: Classes of the spans that hold a page's body text and contacts; headlines are quoted by furniture and tell nothing. Fixed values.
 CONTENT_CLASSES = ("style95", "style85")
 
-_TOKEN = re.compile(r"[a-z]+|[0-9]+|[^\sa-z0-9]")
+_TOKEN = re.compile(r"[a-z]+|[0-9]+|\n|[^\sa-z0-9]")
 _BREAK = re.compile(r"<br\s*/?>", re.I)
 _TAG = re.compile(r"<[^>]+>")
+#: Signs beyond ASCII that are tags, as control characters that no text needs.
+_SIGNS = {"·": "\x01", "»": "\x02", "©": "\x03", "«": "\x04"}
+_WORD, _SIGN, _BORDER = 0, 1, 2
 
 
 class _Numbers(dict):
-    """A number for each token, remembered up to a bound."""
+    """A number for each token, remembered up to a bound: its hash and, in the last two bits, its kind."""
 
     def __missing__(self, token: str) -> int:
-        n = zlib.crc32(token.encode())
+        kind = _BORDER if token == "\n" else _WORD if token.isalnum() else _SIGN
+        n = zlib.crc32((token if token[0] > "9" or kind else "0").encode()) << 2 | kind
         if len(self) < 200_000:
             self[token] = n
         return n
 
 
 _NUMBER = _Numbers()
-#: Signs of layout that count as tags, each by its number in the line up to three.
-_SIGNS = ("|", ">", "*", "/", "-", "@", "(", "[", "<", "^", ":", '"')
-
-
-def buckets(line: str) -> list[int]:
-    """Buckets of a line's tokens: its words without what accents and damage change, pairs of words, which words begin and end
-    it, and the tags of its layout. A token's bucket is its number, or the two numbers mixed, modulo BUCKETS."""
-    line = line.strip().lower()
-    plain = line.replace("?", "").encode("ascii", "ignore").decode() if not line.isascii() or "?" in line else line
-    tokens = _TOKEN.findall(plain)
-    words = [_NUMBER[t if t[0] > "9" else "0"] for t in tokens if t[0].isalnum()]
-    out = [w % BUCKETS for w in words]
-    out += [(a * 31 + b + 1) % BUCKETS for a, b in zip(words, words[1:])]
-    if words:
-        out += [(words[0] * 37 + 2) % BUCKETS, (words[-1] * 41 + 3) % BUCKETS]
-        if len(words) > 1:
-            out.append((words[0] * 43 + words[1] * 47 + 4) % BUCKETS)
-    n = len(words)
-    tags = [f"<words {n if n < 4 else 4 if n < 8 else 8 if n < 16 else 16}>", f"<end {line[-1:] if not line[-1:].isalnum() else 'word'}>", f"<begin {line[0] if line[:1] and not line[0].isalnum() else 'word'}>"]
-    if len(words) < len(tokens):
-        tags += [f"<{s} {min(k, 3)}>" for s in _SIGNS if (k := plain.count(s))]
-    if not line.isascii():
-        tags += [f"<{s}>" for s in "·»©«" if s in line]
-    if "http" in line or "www" in line:
-        tags.append("<link>")
-    return list(dict.fromkeys(out + [_NUMBER[t] % BUCKETS for t in tags]))
+
+
+def bucket(word: str) -> int:
+    """Bucket of a word alone."""
+    return zlib.crc32(word.encode()) % BUCKETS
+
+
+def features(lines: list[str]):
+    """(line, bucket) of all tokens of ``lines``, as two arrays.
+
+    Words count without what accents and damage change, alone and with the word before; signs too, alone and with the sign before.
+    The tag at a line's border tells its number of words and which words or signs begin and end it.
+    """
+    import numpy as np
+
+    text = "\n".join(lines).lower()
+    if not text.isascii():
+        for sign, plain in _SIGNS.items():
+            text = text.replace(sign, plain)
+        text = text.encode("ascii", "ignore").decode()
+    text = text.replace("?", "")
+    got = np.fromiter(map(_NUMBER.__getitem__, _TOKEN.findall(text)), dtype=np.int64)
+    kind, code = got & 3, got >> 2
+    line = np.cumsum(kind == _BORDER)
+    line, kind, code = line[kind != _BORDER], kind[kind != _BORDER], code[kind != _BORDER]
+    n = len(lines)
+    w, at = code[kind == _WORD], line[kind == _WORD]
+    count = np.bincount(at, minlength=n)
+    same = at[1:] == at[:-1]
+    begin = np.flatnonzero(np.concatenate([[True], ~same])) if len(at) else np.zeros(0, dtype=np.int64)
+    end = np.flatnonzero(np.concatenate([~same, [True]])) if len(at) else begin
+    two = begin[count[at[begin]] > 1]
+    change = line[1:] != line[:-1]
+    first = np.flatnonzero(np.concatenate([[True], change])) if len(line) else np.zeros(0, dtype=np.int64)
+    last = np.flatnonzero(np.concatenate([change, [True]])) if len(line) else first
+    signs, where = code[kind == _SIGN], line[kind == _SIGN]
+    near = where[1:] == where[:-1]
+    size = np.searchsorted([1, 2, 3, 4, 8, 16], count, side="right")
+    parts = [
+        (at, w),
+        (at[1:][same], w[:-1][same] * 31 + w[1:][same] + 1),
+        (at[begin], w[begin] * 37 + 2),
+        (at[end], w[end] * 41 + 3),
+        (at[two], w[two] * 43 + w[two + 1] * 47 + 4),
+        (where, signs),
+        (where[1:][near], signs[:-1][near] * 67 + signs[1:][near] * 71 + 8),
+        (line[first], np.where(kind[first] == _SIGN, code[first], 0) * 53 + 5),
+        (line[last], np.where(kind[last] == _SIGN, code[last], 0) * 59 + 6),
+        (np.arange(n), size * 61 + 7),
+    ]
+    return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]) % BUCKETS
 
 
 def clean_lines(text: str) -> list[str]:
@@ -82,52 +118,68 @@ def clean_lines(text: str) -> list[str]:
     return lines if len(lines) == text.count("\n") + 1 else [form(repair(line)[1]) for line in text.split("\n")]
 
 
-def regions(scores: list[float]) -> list[tuple[int, int]]:
-    """All contiguous regions of maximal score in one scan, as half-open spans (Ruzzo and Tompa)."""
-    spans: list[tuple[int, int, float, float]] = []  # begin, end, score before it, score after it
-    total = 0.0
-    for i, s in enumerate(scores):
-        if s > 0:
-            span = (i, i + 1, total, total + s)
-            while True:
-                j = next((k for k in range(len(spans) - 1, -1, -1) if spans[k][2] < span[2]), None)
-                if j is None or spans[j][3] >= span[3]:
-                    spans.append(span)
-                    break
-                span = (spans[j][0], span[1], spans[j][2], span[3])
-                del spans[j:]
+def regions(scores: list[float], cost: float = 0.0) -> list[tuple[int, int]]:
+    """The contiguous regions whose scores, less ``cost`` for each, are largest together, as half-open spans, in one scan.
+
+    The running total of the scores falls and rises; a region is a rise by more than ``cost`` and ends where a fall by more than
+    ``cost`` begins. Smaller falls are crossed, smaller rises left out.
+    """
+    spans: list[tuple[int, int]] = []
+    total = low = high = 0.0
+    begin = end = 0
+    inside = False
+    for i, s in enumerate(scores, 1):
         total += s
-    return [(a, b) for a, b, _, _ in spans]
+        if inside:
+            if total > high:
+                high, end = total, i
+            elif high - total > cost:
+                spans.append((begin, end))
+                inside, low, begin = False, total, i
+        elif total < low:
+            low, begin = total, i
+        elif total - low > cost:
+            inside, high, end = True, total, i
+    if inside:
+        spans.append((begin, end))
+    return spans
 
 
 class Weights:
-    """Weights of tokens by bucket, and what a line of its own scores."""
+    """Weights of tokens by bucket and the cost of a region. Without weights, all text is content."""
 
-    def __init__(self, weight, bias: float):
-        self.weight, self.bias = weight, bias
-        self.of = None if weight is None else weight.tolist().__getitem__
-        self.known: dict[str, float] = {}
+    def __init__(self, weight, bias: float, cost: float = 0.0):
+        self.weight, self.bias, self.cost = weight, bias, cost
+
+    def scores(self, lines: list[str]) -> list[float]:
+        """What the tokens of each line score together; blank lines score 0."""
+        import numpy as np
 
-    def score(self, line: str) -> float:
-        """Sum of a line's tokens: above 0 for content. Without weights, all text is content."""
         if self.weight is None:
-            return 1.0
-        if (s := self.known.get(line)) is None:
-            s = self.bias + sum(map(self.of, buckets(line)))
-            if len(self.known) < 100_000:
-                self.known[line] = s
-        return s
-
-    def furniture(self, text: str) -> list[int]:
-        """Numbers of the lines that lie outside of every content region; empty lines aren't counted among them."""
-        lines = clean_lines(text)
-        scores = [self.score(x) if x.strip() else 0.0 for x in lines]
-        # A line of furniture is a border no region may cross, however much its neighbours score.
-        border = 1.0 + sum(s for s in scores if s > 0)
-        inside: set[int] = set()
-        for a, b in regions([s if s > 0 else -border if s < 0 else 0.0 for s in scores]):
-            inside.update(range(a, b))
-        return [i for i, x in enumerate(lines) if i not in inside and x.strip()]
+            return [float(bool(x.strip())) for x in lines]
+        if not lines:
+            return []
+        at, col = features(lines)
+        z = np.bincount(at, weights=self.weight[col], minlength=len(lines)) + self.bias
+        return [s if x and not x.isspace() else 0.0 for s, x in zip(z.tolist(), lines)]
+
+    def content(self, texts: list[list[str]]) -> list[list[bool]]:
+        """Of the lines of each text, whether they lie in a content region. Any number of texts are scored at once."""
+        scores = self.scores([x for lines in texts for x in lines])
+        out, begin = [], 0
+        for lines in texts:
+            own = scores[begin : begin + len(lines)]
+            begin += len(lines)
+            inside = [False] * len(own)
+            for a, b in regions(own, self.cost if self.weight is not None else 0.0):
+                inside[a:b] = [True] * (b - a)
+            out.append(inside)
+        return out
+
+    def furniture(self, texts: list[str | None]) -> list[list[int]]:
+        """Of each text the numbers of the lines outside of every content region; empty lines aren't counted among them."""
+        lines = [clean_lines(t) if t else [] for t in texts]
+        return [[i for i, (x, yes) in enumerate(zip(own, inside)) if not yes and x and not x.isspace()] for own, inside in zip(lines, self.content(lines))]
 
 
 def _spaced(line: str) -> str:
@@ -145,20 +197,25 @@ def page_lines(page: str) -> tuple[list[str], list[str]]:
     return [x for x in content if x], [x for x in menu + foot + [" | ".join(menu), " > ".join(menu), " - ".join(menu)] if x]
 
 
-def labelled(page: str, texts: list[str]) -> list[tuple[str, bool]]:
-    """(line, whether it is content) for a page and the texts taken from it. Lines that are neither surely are left out."""
+def labelled(page: str, texts: list[str]) -> list[list[tuple[str, bool | None]]]:
+    """Lines with whether they are content, or None where that isn't sure: first those of the page, each a list of its own, then
+    those of each text taken from it, in order."""
     content, furniture = page_lines(page)
     known = set(content) - set(furniture)
     grams = {g for x in content for w in (x.lower().split(),) for g in zip(w, w[1:], w[2:])}
-    out = [(x, False) for x in furniture] + [(x, True) for x in known]
+    out: list[list[tuple[str, bool | None]]] = [[(x, False)] for x in furniture] + [[(x, True)] for x in sorted(known)]
     for text in texts:
+        own: list[tuple[str, bool | None]] = []
         for line in map(_spaced, clean_lines(text)):
+            label = None
             if line in known:
-                out.append((line, True))
+                label = True
             elif line and "@" not in line and "://" not in line:  # addresses differ in form from page to record
                 words = line.lower().split()
                 if not any(g in grams for g in zip(words, words[1:], words[2:])) or len(words) < 16 and not line.endswith("."):
-                    out.append((line, False))
+                    label = False
+            own.append((line, label))
+        out.append(own)
     return out
 
 
@@ -168,12 +225,13 @@ def _kind(line: str) -> str:
     return " ".join(words[:2]) + " " + (line[-1:] if not line[-1:].isalnum() else "w")
 
 
-def fit(rows: list[tuple[str, bool]], rounds: int = 150) -> Weights:
-    """Logistic regression by full-batch AdaGrad; lines of equal text and label count by the logarithm of their number."""
+def fit(texts: list[list[tuple[str, bool | None]]], rounds: int = 150) -> Weights:
+    """Logistic regression by full-batch AdaGrad; lines of equal text and label count by the logarithm of their number. The cost of
+    a region is the one by which the scan is wrong in the fewest labelled lines."""
     import numpy as np
 
     counts: dict[tuple[str, bool], int] = {}
-    for r in rows:
+    for r in (r for text in texts for r in text if r[1] is not None):
         counts[r] = counts.get(r, 0) + 1
     if len({y for _, y in counts}) < 2:
         return Weights(None, 0.0)
@@ -181,10 +239,8 @@ def fit(rows: list[tuple[str, bool]], rounds: int = 150) -> Weights:
     votes: dict[str, list[int]] = {}
     for line, y in counts:
         votes.setdefault(_kind(line), [0, 0])[y] += 1
-    items = [(r, n) for r, n in counts.items() if votes[_kind(r[0])][r[1]] * 2 >= sum(votes[_kind(r[0])])]
-    index = [buckets(line) for (line, _), _ in items]
-    at = np.repeat(np.arange(len(items)), [len(x) for x in index])
-    col = np.fromiter((c for x in index for c in x), dtype=np.int64, count=len(at))
+    items = sorted((r, n) for r, n in counts.items() if votes[_kind(r[0])][r[1]] * 2 >= sum(votes[_kind(r[0])]))
+    at, col = features([line for (line, _), _ in items])
     y = np.array([float(y) for (_, y), _ in items])
     k = 1 + np.log(np.array([n for _, n in items], dtype=float))
     k *= np.where(y > 0, len(items) / (2 * max(k[y > 0].sum(), 1)), len(items) / (2 * max(k[y == 0].sum(), 1)))
@@ -199,24 +255,59 @@ def fit(rows: list[tuple[str, bool]], rounds: int = 150) -> Weights:
             gb += r.sum() ** 2
             w -= 0.3 * d / np.sqrt(gw)
             b -= 0.3 * r.sum() / gb**0.5
-        # Some pages have furniture among their content: labels that the others outvote don't count in the next pass.
+        # Labels that the others outvote don't count in the next pass.
         z = np.bincount(at, weights=w[col], minlength=len(items)) + b
         k = np.where((z > 0) == (y > 0.5), k, 0.0)
-    return Weights(w.astype(np.float32), float(b))
+    trusted = {line: label for ((line, label), _), n in zip(items, k) if n > 0}
+    model = Weights(w.astype(np.float32), float(b))
+    runs = [[(x, trusted.get(x)) for x, _ in text] for text in texts if len(text) > 1]
+    scores = model.scores([x for text in runs for x, _ in text])
+    wrong = dict.fromkeys(OPENS, 0)
+    begin = 0
+    for text in runs:
+        own = scores[begin : begin + len(text)]
+        begin += len(text)
+        for cost in OPENS:
+            inside = {i for a, b in regions(own, cost) for i in range(a, b)}
+            wrong[cost] += sum(label is not None and (i in inside) != label for i, (_, label) in enumerate(text))
+    # Of equal ones the middle: it is the furthest from those that err.
+    best = [c for c in OPENS if wrong[c] == min(wrong.values())]
+    model.cost = best[len(best) // 2]
+    return model
+
+
+def training_texts(articles: DataFrame, pages: DataFrame) -> list[list[tuple[str, bool | None]]]:
+    """Labelled lines of at most SAMPLE_PAGES pages (path: .../<bulletin>/<article>.htm) and SAMPLE_TEXTS texts taken from them.
+
+    Which ones follows from hashes of paths and ids, whatever the order of files and rows. Pages are parsed in tasks; only lines with
+    their labels come to the driver, and their number is bounded by the sample.
+    """
+    whole = pages.filter(F.col("path").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
+    some = whole.select("path", "html").orderBy(F.xxhash64("path"), "path", F.xxhash64("html")).limit(SAMPLE_PAGES)
+    some = some.select(F.regexp_extract("path", r"([^/]+)\.html?$", 1).alias("page"), "html")
+    own = articles.select(F.col("article").alias("page"), *(F.when(F.length(c) <= SAMPLE_CHARS, F.col(c)).alias(c) for c in ("texte", "contact")))
+    near = own.join(F.broadcast(some.select("page").distinct()), "page", "left_semi")  # SAMPLE_PAGES short names
+    near = near.orderBy(F.xxhash64("page", "texte", "contact")).limit(SAMPLE_TEXTS)
+    both = some.join(near, "page", "left").groupBy("page", "html").agg(F.collect_list(F.struct("texte", "contact")).alias("texts"))
 
+    def make():
+        def run(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
+            for part in parts:
+                rows = []
+                for page, texts in zip(part["html"], part["texts"]):
+                    found = labelled(page, [t for pair in texts for t in (pair["texte"], pair["contact"]) if t])
+                    rows += [([x for x, _ in text], [y for _, y in text]) for text in found]
+                yield rows
+
+        return run
 
-def training_rows(articles: DataFrame, pages: DataFrame) -> list[tuple[str, bool]]:
-    """Labelled lines of at most SAMPLE_PAGES pages and the articles taken from them (path: .../<bulletin>/<article>.htm)."""
-    some = pages.filter("path is not null and html is not null").select(F.regexp_extract("path", r"([^/]+)\.html?$", 1).alias("page"), "html").limit(SAMPLE_PAGES)
-    both = articles.select(F.col("article").alias("page"), "texte", "contact").join(F.broadcast(some), "page")
-    rows: list[tuple[str, bool]] = []
-    for r in both.select("html", "texte", "contact").limit(2 * SAMPLE_PAGES).collect():
-        rows += labelled(r["html"], [t for t in (r["texte"], r["contact"]) if t])
-    return rows
+    got = map_rows(both.select("html", "texts"), "lines array<string>, labels array<boolean>", make).collect()
+    # The weights are sums: equal texts in equal order give equal ones.
+    return sorted((list(zip(r["lines"], r["labels"])) for r in got), key=repr)
 
 
 def weights(articles: DataFrame, pages: DataFrame) -> Weights:
-    return fit(training_rows(articles, pages))
+    return fit(training_texts(articles, pages))
 
 
 def furniture_lines(articles: DataFrame, pages: DataFrame, id_col: str = "rec_id", text_cols: list[str] | None = None) -> DataFrame:
@@ -228,7 +319,7 @@ def furniture_lines(articles: DataFrame, pages: DataFrame, id_col: str = "rec_id
     """
     text_cols = text_cols or ["texte", "contact"]
     model = weights(articles, pages)
-    sent = articles.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+    sent = articles.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.cost))
 
     def make():
         own = Weights(*sent.value)
@@ -237,9 +328,7 @@ def furniture_lines(articles: DataFrame, pages: DataFrame, id_col: str = "rec_id
             for part in parts:
                 rows = []
                 for field in text_cols:
-                    for rid, text in zip(part["rid"], part[field]):
-                        if text and rid is not None:
-                            rows += [(rid, field, i) for i in own.furniture(text)]
+                    rows += [(rid, field, i) for rid, found in zip(part["rid"], own.furniture(part[field])) if rid is not None for i in found]
                 yield rows
 
         return run
@@ -253,20 +342,20 @@ def main_text(articles: DataFrame, pages: DataFrame, id_col: str = "rec_id", tex
     """(id, *text_cols): the texts without their furniture lines; null stays null, rows come out once each."""
     text_cols = text_cols or ["texte", "contact"]
     model = weights(articles, pages)
-    sent = articles.sparkSession.sparkContext.broadcast((model.weight, model.bias))
+    sent = articles.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.cost))
 
     def make():
         own = Weights(*sent.value)
 
-        def keep(text: str | None) -> str | None:
-            if not text:
+        def keep(text: str | None, found: list[int]) -> str | None:
+            if not text or not found:
                 return text
-            out = set(own.furniture(text))
+            out = set(found)
             return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
 
         def run(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
             for part in parts:
-                yield list(zip(part["rid"], *([keep(t) for t in part[c]] for c in text_cols)))
+                yield list(zip(part["rid"], *(list(map(keep, part[c], own.furniture(part[c]))) for c in text_cols)))
 
         return run
 

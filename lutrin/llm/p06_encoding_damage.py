@@ -42,6 +42,7 @@ _LOST = re.compile(
 )
 #: A shifted sequence of UTF-7; each character takes two and two thirds of these signs.
 _SHIFTED = re.compile(r"\+([A-Za-z0-9+/]{3,})-?")
+_CONTROL = re.compile(r"[\x80-\x84\x86-\x9f]")
 _WORD = re.compile(r"[^\s'’\-/|>.,;:()\"]+")
 #: A lead byte's continuation bytes, the automaton's first transition: state by byte.
 _NEED = [0] * 0xC2 + [1] * 30 + [2] * 16 + [3] * 5 + [0] * 11
@@ -198,7 +199,7 @@ def repair(text: str | None) -> tuple[bool, str | None, bool]:
     if not damaged and not _STRAY.search(text):
         return lost, text, not lost
     text, more = _undo_single(text)
-    control = any("\x80" <= c < "\xa0" and c != "\x85" for c in text)
+    control = bool(_CONTROL.search(text))
     return damaged or more or lost or control, text, not (lost or control)
 
 
