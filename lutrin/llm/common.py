@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from lutrin.session import cut, ship
 
-__all__ = ["BATCH_ROWS", "cut", "fold_words", "map_rows", "strip_marks"]
+__all__ = ["BATCH_ROWS", "cut", "fold_words", "map_rows", "ship", "strip_marks"]
 
 #: Rows of an Arrow batch that Python handles at once; bounds a worker's memory with long texts.
 BATCH_ROWS = 2000

@@ -110,7 +110,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of repeated content of every document."""
-    return p10_repetition.measures(_table(spark, sf_dir, "documents")).select("doc_id", F.round("repeated_share", 6).alias("repeated_share"))
+    return p10_repetition.shares(_table(spark, sf_dir, "documents")).select("doc_id", F.round("repeated_share", 6).alias("repeated_share"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

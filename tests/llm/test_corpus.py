@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from lutrin.llm import p08_encoding as p8
@@ -127,13 +128,33 @@ def test_share():
 
 
 def test_learned_list(spark):
-    rows = [({m: 0.0 for m in p10.MEASURES} | {"repeated_share": i / 100, "n_words": 50}, i >= 45) for i in range(100) if not 35 < i < 45]
-    rules = p10.learn(rows)
-    assert len(rules) == 1 and rules[0][0][0] == "repeated_share" and 0.35 <= rules[0][0][2] <= 0.45
-    assert p10.learn([(x, False) for x, _ in rows]) == []
-    df = spark.createDataFrame([(0.2,), (0.8,)], "repeated_share double")
-    assert [r.k for r in df.select(p10.as_column(rules).alias("k")).collect()] == [0, 1]
-    assert df.select(p10.as_column([]).alias("k")).first().k == 0
+    r = random.Random(6)
+    vocabulary = [f"mot{i}" for i in range(400)]
+    texts = [" ".join(r.choice(vocabulary) + r.choice(["", "", ".", "\n"]) for _ in range(r.randrange(30, 300))) for _ in range(300)]
+    x, y = p10.labelled(texts[:200])
+    rules = p10.learn(x, y)
+    assert rules and not any(p10._covers(rule, x[~y]).any() for rule in rules)
+    # On texts held out: none that repeats is cleared, most others are.
+    x, y = p10.labelled(texts[200:])
+    cleared = np.zeros(len(x), dtype=bool)
+    for rule in rules:
+        cleared |= p10._covers(rule, x)
+    assert (cleared & ~y).sum() <= 0.01 * (~y).sum() and (cleared & y).sum() > 0.9 * y.sum()
+    # The same as one Spark expression.
+    rows = [tuple(float(v) for v in row[:-1]) + (int(row[-1]),) for row in x]
+    df = spark.createDataFrame(rows, p10.KINDS)
+    assert [k.k > 0 for k in df.select(p10.as_column(rules).alias("k")).collect()] == cleared.tolist()
+    assert df.select(p10.as_column([]).alias("k")).first().k == 0 and p10.learn(x[:0], y[:0]) == [] == p10.learn(x[~y], y[~y])
+
+
+def test_conjunctions():
+    # What two thresholds together tell apart takes a rule of both.
+    rng = np.random.default_rng(1)
+    x = rng.random((600, len(p10.MEASURES)))
+    y = (x[:, 1] < 0.5) & (x[:, 4] > 0.3)
+    rules = p10.learn(x, y)
+    assert {(m, op) for m, op, _ in rules[0]} == {("sentence_share", "<="), ("distinct_share", ">=")}
+    assert not any(p10._covers(rule, x[~y]).any() for rule in rules)
 
 
 def test_repetitive(spark):
@@ -142,7 +163,8 @@ def test_repetitive(spark):
     df = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, text string, rule int, repeated_share double")
     assert sorted(r.doc_id for r in p10.repetitive(df).collect()) == [1, 6]
     assert p10.repetitive(df.limit(0)).count() == 0
-    assert p10.measures(df).count() == len(rows)
+    assert p10.measures(df).count() == len(rows) == p10.shares(df).count()
+    assert p10.measure(None) == p10.measure("?!") == (0.0,) * 6 + (0,)
 
 
 @pytest.mark.parametrize("name", sorted(set(q.queries()) - set(q.oracle_sql())))
