@@ -58,7 +58,7 @@ def p5_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p05_distinctive.distinctive_terms(_table(spark, sf_dir, "articles"), min_tf=3, max_docs=5).select("rec_id", "term")
+    return p05_distinctive.characteristic_terms(_table(spark, sf_dir, "articles")).select("rec_id", "term")
 
 
 def p6_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,10 +78,20 @@ def test_weights(spark):
     df = spark.createDataFrame(rows, "rec_id long, titre string, texte string")
     got = sorted((r.rec_id, r.term, r.tf, r.n_docs, round(r.weight, 9)) for r in dist.distinctive_terms(df).collect())
     assert got == weights(rows)
-    some = sorted((r.rec_id, r.term, r.tf, r.n_docs, round(r.weight, 9)) for r in dist.distinctive_terms(df, min_tf=2, max_docs=2).collect())
+    some = sorted((r.rec_id, r.term, r.tf, r.n_docs, round(r.weight, 9)) for r in dist.characteristic_terms(df, least_tf=2, most_docs=2).collect())
     assert some == [x for x in weights(rows) if x[2] >= 2 and x[3] <= 2]
 
 
+def test_characteristic_terms_are_chosen_by_weight(spark):
+    # Few records and many occurrences: here the weight falls with the frequency.
+    rows = [(1, "a a a a a a a a a", "b"), (2, "b b", "c c c"), (3, "a a", "d d d d")]
+    df = spark.createDataFrame(rows, "rec_id long, titre string, texte string")
+    found = dist.characteristic_terms(df)
+    assert sorted((r.rec_id, r.term) for r in found.collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    plan = found.select("rec_id", "term")._jdf.queryExecution().executedPlan().toString()
+    assert "LOG2" in plan.upper()
+
+
 def test_row_without_id_has_no_terms(docs):
     assert {r.rec_id for r in dist.distinctive_terms(docs).collect()} == {1, 2, 4, 5, 70000}
 
