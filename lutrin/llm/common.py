@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 
 from lutrin.session import cut, ship
 
+from . import confusables
+
 __all__ = ["BATCH_ROWS", "cut", "fold_words", "map_rows", "ship", "strip_marks"]
 
 #: Rows of an Arrow batch that Python handles at once; bounds a worker's memory with long texts.
@@ -43,12 +45,15 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[Iterator[d
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     ship(df.sparkSession)
+    known = confusables.table()
     kind = _parse_datatype_string(schema)
     assert isinstance(kind, StructType)
     names = kind.fieldNames()
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        confusables.install(known)
+
         def parts() -> Iterator[dict[str, list]]:
             for batch in batches:
                 for at in range(0, batch.num_rows, BATCH_ROWS):

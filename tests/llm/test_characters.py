@@ -73,6 +73,33 @@ def test_forms_left_alone(text):
     assert p7.form(text) == text
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Ꮪcope", "Scope"), ("ꓐonjour", "Bonjour"), ("ᒪe juge", "Le juge"), ("ᎪᏢᏢᎬᏞ", "APPEL"), ("ꓡꓰ ꓐꓳꓠ", "LE BON"), ("ʟoi", "loi"), ("ɴoʙʟe", "noble"), ("ɪcɪ", "ici"), ("Ɩci", "Ici"), ("le сера", "le cepa"),
+    ],
+)
+def test_other_alphabets(text, want):
+    assert p7.form(text) == want and p7.disguised(text) and not p7.disguised(want)
+    assert p7.skeleton(text) == p7.skeleton(want)
+
+
+def test_words_of_an_alphabet_in_use_stay():
+    # The Lisu word could be Latin, but the text has one that can't.
+    assert p7.form("ꓡꓰ et ꓬꓺꓷ") == "ꓡꓰ et ꓬꓺꓷ" and p7.form("coefficient σ") == "coefficient σ"
+
+
+def test_table_of_look_alikes():
+    from lutrin.llm import confusables
+
+    table = confusables.parse(confusables.find())
+    assert len(table) > 6000 and table["а"] == "a" and table["ﬁ"] == "fi" and table["m"] == "rn" and "a" not in table
+    with pytest.raises(ValueError):
+        confusables.parse(b"\0\2" + bytes(40))
+    # Each letter that has a plain one has its skeleton.
+    assert all(p7.skeleton(c) == p7.skeleton(p7.letter(c)) for c in map(chr, range(0x80, 0x1FFFF)) if p7.letter(c))
+
+
 def test_skeletons():
     same = ["scope", "ѕсоре", "sc​ope", "ｓｃｏｐｅ", "sсοpe"]
     assert len({p7.skeleton(x) for x in same}) == 1
