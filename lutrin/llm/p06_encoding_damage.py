@@ -1,8 +1,8 @@
 """Problem 6: text that was decoded with the wrong character encoding.
 
 Characters are mapped back to the bytes of the legacy encoding that may have produced them, and an automaton of UTF-8's byte
-structure finds the maximal well-formed multibyte spans among them. Only those spans are decoded; a text damaged twice takes
-two passes. Single-byte text read in another single-byte encoding has no such structure; there a word is mapped back if it
+structure finds the maximal well-formed multibyte spans among them. Only those spans are decoded, whatever their alphabet, unless
+chance could have made them; a text damaged twice takes two passes. Single-byte text read in another single-byte encoding has no such structure; there a word is mapped back if it
 holds characters that can't stand in it and its other reading has none. Replacement characters and question marks inside
 words show damage that can't be undone.
 """
@@ -67,7 +67,33 @@ _BACK = {c: {ch: bytes([b]).decode("cp1252", "ignore") or ch for ch, b in _MAPS[
 def _likely(ch: str) -> bool:
     """Whether a decoded character is one that such text holds: letters of Europe, punctuation, signs."""
     o = ord(ch)
-    return 0x80 <= o < 0x180 or 0x2C0 <= o < 0x2E0 or o == 0x192 or 0x370 <= o < 0x500 or 0x2010 <= o < 0x2070 or 0x2070 <= o < 0x20C0 or 0x2100 <= o < 0x2300 or ch in "ﬁﬂ�​﻿" or 0x2000 <= o < 0x2010
+    return 0x80 <= o < 0x180 or 0x2C0 <= o < 0x2E0 or o == 0x192 or 0x370 <= o < 0x500 or 0x1E00 <= o < 0x1F00 or 0x2000 <= o < 0x20C0 or 0x2100 <= o < 0x2300 or ch in "ﬁﬂ�​﻿"
+
+
+def _script(ch: str) -> str:
+    """The alphabet of a letter, one for those of East Asia; '' for what isn't a letter of one."""
+    if unicodedata.category(ch)[0] != "L":
+        return ""
+    name = unicodedata.name(ch, "").split()[0] if unicodedata.name(ch, "") else ""
+    return "EAST" if name in ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HANGUL", "BOPOMOFO") else name
+
+
+def _assigned(text: str) -> bool:
+    return all(unicodedata.category(c) not in ("Cn", "Co", "Cs", "Cc") for c in text)
+
+
+def _proven(text: str) -> str | None:
+    """The alphabet that a decoded span shows to be meant, '' for signs such as emoji; None if chance could have made it.
+
+    A character of four bytes, or a sign of three, isn't made by chance, nor are two letters of one alphabet side by side."""
+    if not _assigned(text):
+        return None
+    own = {_script(c) for c in text if not _likely(c)}
+    if own == {""}:
+        return "" if any(ord(c) > 0xFFFF or 0x2300 <= ord(c) < 0x2C00 for c in text) else None
+    own.discard("")
+    letters = sum(_script(c) in own for c in text)
+    return own.pop() if len(own) == 1 and (letters > 1 or any(ord(c) > 0xFFFF for c in text)) and "LATIN" not in own else None
 
 
 def spans(codes: list[int]) -> Iterator[tuple[int, int]]:
@@ -92,18 +118,31 @@ def spans(codes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _undo_multibyte(text: str, codec: str) -> tuple[str, int]:
-    """``text`` with the well-formed spans decoded, and how many characters came out."""
+    """``text`` with the well-formed spans decoded, and how many characters came out.
+
+    Spans of letters and signs of Europe are taken as they are, others where they can't be chance; where an alphabet is shown to be
+    meant, its single letters are taken too."""
     table, n = _MAPS[codec], 0
+    found: dict[str, list[tuple[int, int, str]]] = {}
+    shown: set[str] = set()
+    for run in set(_RUNS[codec].findall(text)):
+        codes = [table[c] for c in run]
+        # Letters that look Latin, put in for them, may happen to be well formed too.
+        own = [(a, b, bytes(codes[a:b]).decode("utf-8")) for a, b in spans(codes) if not LOOKALIKES.issuperset(run[a:b])]
+        if own:
+            found[run] = own
+            shown.update(s for _, _, got in own if not all(map(_likely, got)) and (s := _proven(got)))
+    if not found:
+        return text, 0
+
+    def meant(got: str) -> bool:
+        return all(map(_likely, got)) or _proven(got) is not None or bool(shown) and _assigned(got) and all(_likely(c) or _script(c) in shown for c in got)
 
     def fix(m: re.Match) -> str:
         nonlocal n
-        run = m[0]
-        codes = [table[c] for c in run]
-        out, last = [], 0
-        for a, b in spans(codes):
-            got = bytes(codes[a:b]).decode("utf-8")
-            # Letters that look Latin, put in for them, may happen to be well formed too.
-            if all(map(_likely, got)) and not LOOKALIKES.issuperset(run[a:b]):
+        run, out, last = m[0], [], 0
+        for a, b, got in found.get(run, ()):
+            if meant(got):
                 out += [run[last:a], got]
                 last, n = b, n + len(got)
         return "".join(out) + run[last:]
@@ -112,12 +151,17 @@ def _undo_multibyte(text: str, codec: str) -> tuple[str, int]:
 
 
 def _undo_utf7(text: str) -> tuple[str, bool]:
-    """``text`` with the shifted sequences of UTF-7 decoded: characters beyond ASCII as base64 of UTF-16 between + and -."""
+    """``text`` with the shifted sequences of UTF-7 decoded: characters beyond ASCII as base64 of UTF-16 between + and -. A sequence's
+    last bits, that make up no character, are zero; letters beyond those of Europe need two of one alphabet."""
 
     def fix(m: re.Match) -> str:
+        bits = len(m[1]) * 6 % 16
         data = base64.b64decode(m[1] + "A" * (-len(m[1]) % 4))
         got = data[: len(m[1]) * 6 // 16 * 2].decode("utf-16-be", "replace")
-        return got if all(c >= "\xa0" and _likely(c) for c in got) else m[0]
+        if all(c >= "\xa0" and _likely(c) and c != "�" for c in got):
+            return got
+        rest = int.from_bytes(data, "big") >> (8 * len(data) - 6 * len(m[1])) & ((1 << bits) - 1)
+        return got if bits < 6 and rest == 0 and all(c >= "\xa0" for c in got) and _proven(got) is not None else m[0]
 
     other = _SHIFTED.sub(fix, text)
     return other, other != text
@@ -154,6 +198,9 @@ def _undo_single(text: str) -> tuple[str, bool]:
     """``text`` with its odd words read in cp1252, by the one encoding that explains most of them."""
     words = _WORD.findall(text)
     odd = {w: k for w in set(words) if (k := _odd(w))}
+    # A letter alone isn't odd where the text has whole words of its alphabet.
+    whole = {_script(w[0]) for w in set(words) if len(w) > 2 and w not in odd and not w.isascii() and len({_script(c) for c in w}) == 1} - {"LATIN", ""}
+    odd = {w: k for w, k in odd.items() if len(w) > 1 or _script(w) not in whole}
     if not odd:
         return text, False
     best, table = 0, None
@@ -171,11 +218,14 @@ def _undo_single(text: str) -> tuple[str, bool]:
     def fix(m: re.Match) -> str:
         w = m[0]
         # A damaged capital or sign alone has no neighbours that tell; it goes with the rest.
-        if w in odd or any(c in "аА" or c in "α└╔" for c in w) and len(w) == 1:
-            return "".join(table.get(c, c) for c in w)
+        if w in odd or len(w) == 1 and w in "аАα└╔" and _script(w) not in whole:
+            other = "".join(table.get(c, c) for c in w)
+            # No word is made worse than it was.
+            return other if w not in odd or _odd(other) < odd[w] else w
         return w
 
-    return _WORD.sub(fix, text), True
+    fixed = _WORD.sub(fix, text)
+    return fixed, fixed != text
 
 
 def repair(text: str | None) -> tuple[bool, str | None, bool]:
@@ -184,7 +234,7 @@ def repair(text: str | None) -> tuple[bool, str | None, bool]:
         return False, text, True
     lost = "�" in text or "?" in text and bool(_LOST.search(text))
     damaged = False
-    if "+A" in text or "+I" in text:
+    if "+" in text:
         text, damaged = _undo_utf7(text)
     if text.isascii():
         return lost or damaged, text, not lost

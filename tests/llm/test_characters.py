@@ -25,6 +25,25 @@ def test_single_byte_read_as(codec):
     assert p6.repair(text.encode("cp1252").decode(codec))[:2] == (True, text)
 
 
+@pytest.mark.parametrize("text", ["un sourire 😀 ici", "مرحبا بالعالم", "שלום עולם", "日本語のテキスト", "Việt Nam", "coché ✓ ou non", "наука и жизнь", "한국어 문장"])
+@pytest.mark.parametrize("codec", ["cp1252", "mac_roman", "cp437", "latin-1"])
+def test_every_alphabet(text, codec):
+    table = {b: c for c, b in p6._MAPS[codec].items()}
+    bad = "".join(table.get(b, chr(b)) for b in text.encode())
+    assert p6.repair(bad) == (True, text, True)
+    assert p6.repair(text) == (False, text, True)
+
+
+@pytest.mark.parametrize("text", ["наука и жизнь", "日本語", "l'été", "prix : 3 €", "ελληνικά"])
+def test_utf7(text):
+    assert p6.repair(text.encode("utf-7").decode())[:2] == (True, text)
+
+
+@pytest.mark.parametrize("text", ["a+bonjour", "C++ et C+Bonjour-", "+33123456789", "x+abcdefgh-", "CAFÉ» et «é…», «à»", "É»É»", "2+2222=2224"])
+def test_no_chance_finds(text):
+    assert p6.repair(text) == (False, text, True)
+
+
 def test_in_places_only():
     assert p6.repair("été puis Ã©tÃ©")[1] == "été puis été"
     assert p6.repair("prot+AOk-ger l'+AOk-t+AOk")[1] == "protéger l'été"
