@@ -67,13 +67,27 @@ def test_decoder_waits_for_whole_characters(ranks):
     assert [d.feed(0), d.feed(1), d.feed(2), d.end()] == ["", "€", "x", ""]
 
 
-def test_wu_manber_against_search():
+def machine(patterns, length):
+    shifts, pairs = {}, []
+    for p in patterns:
+        own, pair = p9.WuManber.entries(list(p))
+        pairs.append(pair)
+        for slot, n in own:
+            shifts[slot] = min(n, shifts.get(slot, n))
+    return p9.WuManber(shifts, pairs, length)
+
+
+@pytest.mark.parametrize("bits", [(22, 24), (3, 4)])
+def test_wu_manber_against_search(bits, monkeypatch):
+    # With tables far too small for the patterns more is selected, but nothing is lost.
+    monkeypatch.setattr(p9, "SHIFT_BITS", bits[0])
+    monkeypatch.setattr(p9, "PAIR_BITS", bits[1])
     r = random.Random(2)
-    for _ in range(100):
-        patterns = {tuple(r.choice("abc") for _ in range(4)): {k} for k in range(r.randrange(1, 12))}
+    for _ in range(100 if bits[0] < 9 else 10):
+        patterns = {tuple(r.choice("abc") for _ in range(4)) for k in range(r.randrange(1, 12))}
         words = [r.choice("abc") for _ in range(r.randrange(40))]
-        found = {k for p, own in patterns.items() for k in own if any(tuple(words[i : i + 4]) == p for i in range(len(words)))}
-        assert p9.WuManber(patterns, 4).owners(words) == found
+        found = {p for p in patterns if any(tuple(words[i : i + 4]) == p for i in range(len(words)))}
+        assert {p for p in map(tuple, machine(patterns, 4).selected(words)) if p in patterns} == found
 
 
 ITEM = "Quel lien unit l'été puis la greffe lorsque Ulmo confirme nettement 551 fois la PME du Nord ?"
@@ -105,11 +119,15 @@ def test_markup_of_any_length():
     assert p9.word_views("AT&T &#" + "9" * 5000 + "; &x")[0] == p9.word_views("AT&T &#" + "9" * 5000 + "; &x")[-1]
 
 
-def test_passes(spark, monkeypatch):
-    monkeypatch.setattr(p9, "PASS_CHARS", 10)
-    items = spark.createDataFrame([(1, ITEM), (2, ITEM + " encore")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
-    assert {r.item_id for r in p9.leaks(docs, items).collect()} == {1, 2}
+def test_many_items(spark):
+    words = [f"w{i}" for i in range(40)]
+    r = random.Random(8)
+    texts = [" ".join(r.choice(words) for _ in range(14)) for _ in range(300)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(k, f"avant {texts[k]} apres" if k % 3 else texts[k][:20]) for k in range(300)], "doc_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in p9.leaks(docs, items).collect()} == {(k, k) for k in range(300) if k % 3}
+    with pytest.raises(ValueError):
+        p9.leaks(docs, items, min_words=2)
 
 
 def brute_share(words, run=5):
