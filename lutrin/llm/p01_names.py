@@ -1,9 +1,10 @@
 """Problem 1: variant spellings of names typed by people, resolved by merging and matching again.
 
 Every spelling is parsed to a profile: of a person the words of the name and the initials, of an organisation the words of
-its title and its acronyms. Profiles meet in blocks and are compared there. Profiles that match are merged: the merged one has
-the spellings and initials of both, and every combination of its given names and surnames. With those it enters the blocks again
-and may now match what neither part matched alone. This repeats until a round merges nothing.
+its title and its acronyms. Profiles meet in blocks and are compared there. Profiles that match are merged: the merged one unites
+the spellings, initials and acronyms of both, with every combination of a person's given names and surnames, of its initials
+and surnames, and of two variants of an organisation's words. With those it enters the blocks again and may now match what neither
+part matched alone. This repeats until a round merges nothing.
 
 Initials and acronyms alone are weak: they join a profile only if no other one in the collection fits as well.
 """
@@ -44,8 +45,10 @@ NICKNAMES = {
 DOUBLES = frozenset("jean marie anne pierre".split())
 #: What turns a given name into its feminine; such neighbours are two people. Fixed values.
 ENDINGS = ("e", "le", "ne", "te", "se", "ette", "ine")
-#: A word counts as established beside another if it has at least this many partners, and this share of the other's.
-PARTNERS, PARTNER_SHARE = 6, 0.1
+#: Typing errors: for each partner of a word, so many others at most are written with an error in that word, which makes another word.
+ERRORS = 0.05
+#: Profiles of a block that one task compares; a larger block is split in groups, and each two of them compared by a task.
+SPLIT = 2000
 #: Persons of a block compared one by one; in larger blocks an index finds those that can match, with the same result.
 INDEXED = 64
 
@@ -155,20 +158,27 @@ def initials_of(given: str) -> str:
     return "".join(p[0] for p in given.split("-") if p)
 
 
+def established(px: int, py: int) -> bool:
+    """Whether the rarer of two neighbouring words has more partners than errors in the other would bring it: more than the
+    upper bound, three deviations and three, of a Poisson count of that mean. So it is a name in its own right."""
+    errors = ERRORS * max(px, py)
+    return min(px, py) > errors + 3 * errors**0.5 + 3
+
+
 def conflict(x: str, px: int, y: str, py: int) -> bool:
     """Whether two neighbouring words are both names in their own right, not one the typo or short form of the other."""
-    if min(px, py) >= max(PARTNERS, PARTNER_SHARE * max(px, py)):
+    if established(px, py):
         return True
     a, b = sorted((x, y), key=len)
     return b.startswith(a) and b[len(a) :] in ENDINGS
 
 
 def short_for(x: str, px: int, y: str, py: int) -> bool:
-    """Whether one given name is a short form of the other: known as one, or its beginning and far rarer in names."""
+    """Whether one given name is a short form of the other: known as one, or its beginning and rarer in names."""
     a, b = sorted((x, y), key=len)
     if b in NICKNAMES.get(a, ()) or a in NICKNAMES.get(b, ()):
         return True
-    if min(px, py) >= max(PARTNERS, 0.6 * max(px, py)):
+    if established(px, py) and min(px, py) >= 0.6 * max(px, py):
         return False
     return len(a) >= 3 and len(b) - len(a) >= 2 and b.startswith(a) and b[len(a) :] not in ENDINGS and b[len(a)] != "-" and "-" not in a
 
@@ -310,11 +320,12 @@ def _profiles(auteurs: DataFrame) -> DataFrame:
 
 
 def _blocks(profiles: DataFrame) -> DataFrame:
-    """(strong, weaker) comparisons within blocks: rows (a, b, far) of cluster ids; far is -1 for a strong match.
+    """Comparisons within blocks: rows (vid, a, b, far) of a profile, its cluster and one it meets; far is -1 for a strong match.
 
     Blocks stream by in order, full profiles first. Equal spellings are one profile by then and a block's key is most of a name
     or a word and an initial; in large blocks only profiles that can match are compared. A profile gives one link for each cluster it
-    matches, never one for each pair; a task holds the profiles of the block at hand.
+    matches, never one for each pair. No task holds more than about two groups of SPLIT profiles: the profiles of a block beyond that
+    are spread over groups by their hash, and each enters with its own group and with every other.
     """
 
     def enter():
@@ -344,22 +355,27 @@ def _blocks(profiles: DataFrame) -> DataFrame:
                             d = weak(p, q)
                             if d is not None and (other, d) not in seen:
                                 seen.add((other, d))
-                                out.append((cid, other, d))
+                                out.append((vid, cid, other, d))
                         continue
                     # One link to each cluster it matches. It stays itself, as it may match what the earlier ones don't.
                     linked = {cid}
                     for other, q in full.near(p):
                         if other not in linked and alike(p, q):
                             linked.add(other)
-                            out.append((cid, other, -1))
+                            out.append((vid, cid, other, -1))
                     full.add(cid, p)
                 yield out
 
         return run
 
-    entered = map_rows(profiles.select("cid", "vid", "payload"), "key string, rank int, vid string, cid string, payload string", enter)
-    ordered = entered.repartition("key").sortWithinPartitions("key", "rank", "vid")
-    return map_rows(ordered, "a string, b string, far int", meet)
+    entered = cut(map_rows(profiles.select("cid", "vid", "payload"), "key string, rank int, vid string, cid string, payload string", enter))
+    large = entered.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT)
+    groups = F.ceil(F.coalesce("n", F.lit(1)) / SPLIT).cast("int")
+    spread = entered.join(large, "key", "left").withColumn("own", F.pmod(F.xxhash64("vid"), groups).cast("int"))
+    spread = spread.withColumn("with", F.explode(F.sequence(F.lit(0), groups - 1)))
+    spread = spread.withColumn("key", F.concat_ws("\t", "key", F.least("own", "with").cast("string"), F.greatest("own", "with").cast("string")))
+    ordered = spread.select("key", "rank", "vid", "cid", "payload").repartition("key").sortWithinPartitions("key", "rank", "vid")
+    return map_rows(ordered, "vid string, a string, b string, far int", meet)
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -400,11 +416,11 @@ def signatories(articles: DataFrame, col: str = "auteur") -> DataFrame:
         found = cut(_blocks(known.unionByName(_combined(known))))
         strong = found.filter("far < 0 and a != b").select("a", "b")
         if strong.isEmpty():
-            # Initials and acronyms: only where a single cluster fits best.
-            fits = found.filter("far >= 0 and a != b").groupBy("a", "b").agg(F.min("far").alias("far"))
-            best = fits.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m"), F.min("far").alias("least")).select("a", "least", F.col("m.b").alias("b"))
-            rivals = fits.join(best.select("a", "least"), "a").filter("far = least").groupBy("a").agg(F.count("*").alias("n"))
-            strong = best.join(rivals.filter("n = 1"), "a").select("a", "b")
+            # Initials and acronyms: only where a single cluster fits best, their own among them.
+            fits = found.filter("far >= 0").groupBy("vid", "a", "b").agg(F.min("far").alias("far"))
+            best = fits.groupBy("vid", "a").agg(F.min("far").alias("least"))
+            only = fits.join(best, ["vid", "a"]).filter("far = least").groupBy("vid", "a").agg(F.count("*").alias("n"), F.min("b").alias("b"))
+            strong = only.filter("n = 1 and a != b").select("a", "b").distinct()
             if strong.isEmpty():
                 break
         labels = _components(strong)
@@ -443,22 +459,68 @@ def combinations(pairs: list[tuple[list[str], list[int]]]) -> list[Payload]:
     return list(made.values())
 
 
+def variants(titles: list[list[str]]) -> list[list[str]]:
+    """Of an organisation's titles, sorted words each: the most common with two of its words at once as another title has them."""
+    lead = max(titles, key=lambda t: (sum(len(t) == len(u) and len(set(t) - set(u)) <= 1 for u in titles), t))
+    slots: dict[int, set[str]] = {}
+    for t in titles:
+        gone, new = [w for w in lead if w not in t], [w for w in t if w not in lead]
+        if len(t) == len(lead) and len(gone) == len(new) == 1:
+            slots.setdefault(lead.index(gone[0]), set()).add(new[0])
+    known, made = {tuple(t) for t in titles}, set()
+    for i in slots:
+        for j in slots:
+            if i < j:
+                for x in slots[i]:
+                    for y in slots[j]:
+                        t = list(lead)
+                        t[i], t[j] = x, y
+                        made.add(tuple(sorted(t)))
+    return [list(t) for t in sorted(made - known)]
+
+
+def united(payloads: list[Payload]) -> list[Payload]:
+    """The profiles a merged entity has beside those of its parts."""
+    persons, titles = [p for p in payloads if p[0] == "p"], [p for p in payloads if p[0] == "o"]
+    made = combinations([(p[1], p[4]) for p in persons]) if len(persons) > 1 else []
+    # Typed initials with every surname: the words beside given names that begin with them.
+    words = {w: n for p in persons for w, n in zip(p[1], p[4])}
+    typed = {(p[1][0], p[2]) for p in payloads if p[0] == "i"}
+    for initials in sorted({i for _, i in typed}):
+        for name in sorted({w for p in persons for w, given in (p[1], p[1][::-1]) if initials[0] == given[0] and any(distance(w, t) <= 1 for t, _ in typed)}):
+            if (name, initials) not in typed:
+                made.append(("i", [name], initials, [], [words[name]]))
+    acronyms = sorted({a for p in titles for a in p[3] if a[0] != "~"} | {p[3][0] for p in payloads if p[0] == "a"})
+    for p in titles:
+        if not set(acronyms) <= set(p[3]):
+            made.append(("o", p[1], "", sorted({*p[3], *acronyms}), p[4]))
+    if len(titles) > 1:
+        made += [("o", t, "", acronyms, []) for t in variants([p[1] for p in titles])]
+    return made
+
+
 def _combined(known: DataFrame) -> DataFrame:
-    """New profiles of merged persons, for the next round."""
-    persons = known.filter(F.col("payload").startswith("p\t")).groupBy("cid").agg(F.sort_array(F.collect_set("payload")).alias("payloads")).filter(F.size("payloads") > 1)
+    """New profiles of merged entities, for the next round. The spellings of one entity are one row here."""
+    merged = known.groupBy("cid").agg(F.sort_array(F.collect_set("payload")).alias("payloads")).filter(F.size("payloads") > 1)
 
     def make():
         def run(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
             for part in parts:
-                rows = []
-                for cid, payloads in zip(part["cid"], part["payloads"]):
-                    own = [unpack(x) for x in payloads]
-                    rows += [(profile_key(*p[:4]), cid, pack(p)) for p in combinations([(p[1], p[4]) for p in own])]
-                yield rows
+                yield [(profile_key(*p[:4]) + " +", cid, pack(p)) for cid, payloads in zip(part["cid"], part["payloads"]) for p in united([unpack(x) for x in payloads])]
 
         return run
 
-    return map_rows(persons, "vid string, cid string, payload string", make)
+    return map_rows(merged, "vid string, cid string, payload string", make)
+
+
+def classes(articles: DataFrame, col: str = "auteur") -> DataFrame:
+    """(auteur, signatory, n_spellings, n_links, representative): each different spelling with its entity, how many spellings that has,
+    how many of them this one is linked with, and the one of them in most rows (of equal ones the least). Left out as in ``signatories``."""
+    counts = articles.filter(F.length(F.trim(F.col(col))) > 0).groupBy(F.col(col).alias("auteur")).agg(F.count("*").alias("n"))
+    named = signatories(articles, col).join(counts, "auteur")
+    each = named.groupBy("signatory").agg(F.count("*").alias("n_spellings"), F.min(F.struct((-F.col("n")).alias("n"), "auteur")).alias("first"))
+    found = named.join(each, "signatory")
+    return found.select("auteur", "signatory", "n_spellings", (F.col("n_spellings") - 1).alias("n_links"), F.col("first.auteur").alias("representative"))
 
 
 def same_signatory(articles: DataFrame, col: str = "auteur") -> DataFrame:

@@ -25,6 +25,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p01_names.same_signatory(_table(spark, sf_dir, "articles"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with its signatory's number of spellings and the one that stands for them."""
+    return p01_names.classes(_table(spark, sf_dir, "articles"))
+
+
 def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term with its occurrences, records and mark."""
     return p02_frequency.marked_terms(_table(spark, sf_dir, "articles"))
@@ -118,7 +123,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_signatories, p2_found, p2_terms, p3_found, p3_main, p4_found, p4_shares, p5_found, p5_weights, p6_found, p6_repaired, p7_found, p7_forms, p7_groups, p8_ids, p8_decoded, p9_found, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_signatories, p1_classes, p2_found, p2_terms, p3_found, p3_main, p4_found, p4_shares, p5_found, p5_weights, p6_found, p6_repaired, p7_found, p7_forms, p7_groups, p8_ids, p8_decoded, p9_found, p10_found, p10_shares)}
 
 
 _COUNTS = r"""

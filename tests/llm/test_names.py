@@ -114,3 +114,40 @@ def test_merged_profile_of_rare_names_matches_more(spark):
     assert {frozenset(p[1]) for p in names.combinations(pairs)} == {frozenset(("isa", "vallaran"))}
     group = ["Isabelle Valleran", "Isa Valleran", "Isabelle Vallaran", "Isa Vallarann"]
     assert resolve(spark, group) == all_pairs(group)
+
+
+@pytest.mark.parametrize("n", [5, 50, 500])
+def test_initials_meet_the_full_name_at_every_size(spark, n, monkeypatch):
+    # One surname, many given names of other initials; blocks are split from four profiles on.
+    monkeypatch.setattr(names, "SPLIT", 4)
+    others = ["".join(x) for x in itertools.product("bcdfghjklmnpqrst", "aeiou", "blmnrst", ("on", "as"))][:n]
+    got = resolve(spark, [*(f"{x.capitalize()} Kormandel" for x in others), "Zoé Kormandel", "Z. Kormandel"])
+    assert ("Z. Kormandel", "Zoé Kormandel") in got
+
+
+def test_split_blocks_lose_no_link(spark, monkeypatch):
+    r = random.Random(9)
+    spellings = sorted({f"{r.choice(['Zoé', 'Zoe', 'Zohra', 'Zacharie', 'Z.', 'Zélie', 'Zacharrie'])} {r.choice(['Kormandel', 'Kormandell', 'Kormmandel', 'Kormadel'])}" for _ in range(80)})
+    whole = resolve(spark, spellings)
+    monkeypatch.setattr(names, "SPLIT", 3)
+    assert resolve(spark, spellings) == whole and whole
+
+
+def test_initials_stay_with_the_cluster_that_fits_best(spark):
+    # Once joined to the exact surname, they don't join the next best in another round.
+    assert resolve(spark, ["Zoé Kormandel", "Z. Kormandel", "Zélie Kormadel"]) == {("Z. Kormandel", "Zoé Kormandel")}
+
+
+def test_united():
+    titles = [["ferutin", "hydrologie", "pole", "volcanologie"], ["ferytin", "hydrologie", "pole", "volcanologie"], ["ferutin", "hydrologei", "pole", "volcanologie"]]
+    made = names.united([("o", t, "", a, []) for t, a in zip(titles, (["PFHV"], ["~PFHV"], ["~PFHV"]))])
+    assert [p[1] for p in made] == [titles[1], titles[2], sorted(["ferytin", "hydrologei", "pole", "volcanologie"])] and all("PFHV" in p[3] for p in made)
+    made = names.united([("p", ["zoe", "martin"], "", [], [1, 2]), ("p", ["zoe", "martinn"], "", [], [1, 1]), ("i", ["martin"], "zj", [], [0])])
+    assert [p[:3] for p in made] == [("i", ["martinn"], "zj")]
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([("Claire Floon",), ("Claire Floon",), ("FLOON Claire",), ("Autre Nom",), (None,), (" ",)], "auteur string")
+    got = sorted((r.auteur, r.n_spellings, r.n_links, r.representative) for r in names.classes(df).collect())
+    assert got == [("Autre Nom", 1, 0, "Autre Nom"), ("Claire Floon", 2, 1, "Claire Floon"), ("FLOON Claire", 2, 1, "Claire Floon")]
+    assert names.classes(df.limit(0)).count() == 0
