@@ -40,11 +40,14 @@ class Node:
         return "".join(self.strings())
 
     def strings(self) -> Iterator[str]:
-        for x in self.items:
+        """All texts below, in document order, whatever the depth of nesting."""
+        stack: list[Node | str] = list(reversed(self.items))
+        while stack:
+            x = stack.pop()
             if isinstance(x, str):
                 yield x
             else:
-                yield from x.strings()
+                stack.extend(reversed(x.items))
 
     def stripped(self) -> str:
         """Its strings, each without outer white space, put together."""
@@ -103,15 +106,23 @@ def parse_html(page: str) -> Node:
     return b.root
 
 
-def _cell(root: Node, label: str, last: bool) -> Node | None:
-    """The cell beside the one whose first label holds ``label``."""
-    found = None
-    for td in root.walk():
-        if td.tag == "td" and (span := next((n for n in td.walk() if n.tag == "span" and n.has_class("style28")), None)) and label in span.text() and (beside := td.following("td")):
-            found = beside
-            if not last:
-                break
-    return found
+def _cells(root: Node, label: str) -> Iterator[Node]:
+    """The cells beside those whose first label holds ``label``, in document order."""
+    # One walk: a label is the first one of every cell around it that has none yet.
+    cells: list[Node] = []
+    first: dict[int, Node] = {}
+    for n in root.walk():
+        if n.tag == "td":
+            cells.append(n)
+        elif n.tag == "span" and n.has_class("style28"):
+            up = n.parent
+            while up is not None and not (up.tag == "td" and id(up) in first):
+                if up.tag == "td":
+                    first[id(up)] = n
+                up = up.parent
+    for td in cells:
+        if (span := first.get(id(td))) is not None and label in span.text() and (beside := td.following("td")) is not None:
+            yield beside
 
 
 def _images(root: Node) -> list[dict[str, str]]:
@@ -125,13 +136,19 @@ def _images(root: Node) -> list[dict[str, str]]:
     return out
 
 
+#: What the fields look like in a page. Fixed values.
+_NUMBER, _BULLETIN, _AUTHOR = r"/(\d+)\.htm", r"BE\s+\w+\s+(\d+)", r"-\s*(.+?)-\s*email"
+_DAY, _TWO_DIGIT_DAY, _ISSUE_DAY = r"(\d{1,2}/\d{2}/\d{4})", r"(\d{2}/\d{2}/\d{4})", r"\d+/\d+/\d+"
+
+
 def extract(page: str | None, strict_images: bool = False, article_from: str = "style88", first_title_node: bool = False, two_digit_days: bool = False) -> dict | None:
     """The record of a page; null for null. Fields that aren't found are '', an article number that isn't found is null.
 
-    Where several places match: bulletin, rubrique, titre and auteur take the first, date and contact the last. ``texte`` has
-    only the text directly in its spans. Variants: ``strict_images`` leaves images empty, as a parser does that treats br as
-    empty; ``article_from="style15"`` takes the number from the closing line instead of the address (last match, '' if none);
-    ``first_title_node`` takes the title's first own text as it is (null if none); ``two_digit_days`` knows no other dates.
+    Where several places match: bulletin, rubrique, titre and auteur take the first, date and contact the last; an author's cell that
+    holds no author is passed over. ``texte`` has only the text directly in its spans. Variants: ``strict_images`` leaves images
+    empty, as a parser does that treats br as empty; ``article_from="style15"`` takes the number from the closing line instead of
+    the address (last match, '' if none); ``first_title_node`` takes the first own text of any title span as it is (null if none), as
+    the corpus has it; ``two_digit_days`` knows no other dates.
     """
     if page is None:
         return None
@@ -141,27 +158,30 @@ def extract(page: str | None, strict_images: bool = False, article_from: str = "
     def of(cls: str) -> list[Node]:
         return [n for n in spans if n.has_class(cls)]
 
+    def own_text(cls: str) -> str | None:
+        """The first text directly in any span of exactly this class."""
+        return next((x for n in spans if n.attrs.get("class") == cls for x in n.items if isinstance(x, str)), None)
+
     title = next((n.text() for n in root.walk() if n.tag == "title"), "")
-    number = next((n for n in of("style88")), None)
-    first = next((x for x in number.items if isinstance(x, str)), "") if number else ""
-    day = r"(\d{2}/\d{2}/\d{4})" if two_digit_days else r"(\d{1,2}/\d{2}/\d{4})"
-    dates = [m[1] for n in of("style15") if (m := re.search(day, n.text()))]
-    closing = [m[1] for n in of("style15") if (m := re.search(r"/(\d+)\.htm", n.text()))]
+    dates = [m[1] for n in of("style15") if (m := re.search(_TWO_DIGIT_DAY if two_digit_days else _DAY, n.text()))]
+    if article_from == "style15":
+        article = next((m[1] for n in reversed(of("style15")) if (m := re.search(_NUMBER, n.text()))), "")
+    else:
+        article = m[1] if (m := re.search(_NUMBER + "$", own_text("style88") or "")) else None
     heading = next(iter(of("style17")), None)
-    titre = heading.stripped() if heading else ""
-    if first_title_node:
-        titre = next((x for x in heading.items if isinstance(x, str)), None) if heading else None
-    headings = [t for n in of("style42") if not re.match(r"\d+/\d+/\d+", t := n.text().strip())]
-    author, contact = _cell(root, "dacteur", False), _cell(root, "contact", True)
-    who = re.search(r"-\s*(.+?)-\s*email", author.text(), re.S) if author else None
+    headings = (t for n in of("style42") if not re.match(_ISSUE_DAY, t := n.stripped()))
+    authors = (m[1].strip() for cell in _cells(root, "dacteur") if (m := re.search(_AUTHOR, cell.text())))
+    contact = None
+    for contact in _cells(root, "contact"):
+        pass
     pieces = [x for p in root.walk() if p.tag == "p" and p.attrs.get("class") == "style96" for n in p.walk() if n.tag == "span" and n.attrs.get("class") == "style95" for x in n.items if isinstance(x, str) and x != "\n"]
     return {
-        "article": (closing[-1] if closing else "") if article_from == "style15" else m[1] if (m := re.search(r"/(\d+)\.htm$", first.strip())) else None,
-        "bulletin": m[1] if (m := re.search(r"BE\s+\w+\s+(\d+)", title)) else "",
+        "article": article,
+        "bulletin": m[1] if (m := re.search(_BULLETIN, title)) else "",
         "date": dates[-1] if dates else "",
-        "rubrique": headings[0] if headings else "",
-        "titre": titre,
-        "auteur": who[1].strip() if who else "",
+        "rubrique": next(headings, ""),
+        "titre": own_text("style17") if first_title_node else heading.stripped() if heading else "",
+        "auteur": next(authors, ""),
         "texte": "".join(pieces),
         "images": [] if strict_images else _images(root),
         "contact": contact.stripped() if contact else "",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -47,13 +48,33 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables: spark.checkpoint.dir of the session, which a cluster shares.
 
-    The folder is spark.checkpoint.dir of the session, which a cluster shares; only where neither it
-    nor setCheckpointDir was set (local tests), a temporary one is made.
+    Only a local session may go without; it gets a temporary folder. On a cluster that would be lost, so it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lutrin-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lutrin-"))
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """The name of a new folder below the shared one, for a table or text that is written and read again."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A stored table, over all cores: one whose files give fewer partitions than there are cores is dealt out, rows and results stay
+    the same. A large table has more partitions than that and is read as it is, without a shuffle."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table._jdf.queryExecution().toRdd().getNumPartitions() < cores else table

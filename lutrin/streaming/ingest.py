@@ -15,7 +15,7 @@ def stream_articles(spark: SparkSession, folder: str, files_per_batch: int = 100
     return articles_of(pages.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")))
 
 
-def latest_once(articles: DataFrame, time_col: str = "ingested_at", key: str = "article", delay: str = "30 days") -> DataFrame:
+def first_once(articles: DataFrame, time_col: str = "ingested_at", key: str = "article", delay: str = "30 days") -> DataFrame:
     """A stream without articles collected again: the first of each key within ``delay`` of the watermark passes.
 
     State is kept for as long as the delay, so it doesn't grow with the stream.

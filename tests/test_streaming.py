@@ -25,7 +25,7 @@ def test_repeats_and_windows(spark, tmp_path):
     rows = [("1", "a", "x", at), ("1", "a", "x", at + dt.timedelta(days=1)), ("2", None, "x", at + dt.timedelta(days=2))]
     spark.createDataFrame(rows, schema).write.parquet(source)
     stream = spark.readStream.schema(schema).parquet(source)
-    for name, df, mode in (("once", ingest.latest_once(stream), "append"), ("windows", ingest.monthly_term_counts(stream), "update")):
+    for name, df, mode in (("once", ingest.first_once(stream), "append"), ("windows", ingest.monthly_term_counts(stream), "update")):
         q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
         q.stop()
