@@ -14,8 +14,10 @@ from pyspark.sql.types import StringType
 QUERY_TOKEN = r"\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d+(?:[.,]\d+)?|[A-Za-zÀ-ÖØ-öø-ÿ]+(?:[-'][A-Za-zÀ-ÖØ-öø-ÿ]+)*"
 #: What a date or a number looks like as a whole. Fixed values.
 ENTITY = r"^(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|\d+(?:[.,]\d+)?)$"
-#: Tokens of running French: an elided word with its apostrophe, or a run of letters and digits.
-TOKEN = r"(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu|quoiqu)['’]|[\p{L}\p{N}]+"
+#: Tokens of running French: an elided word with its apostrophe, or a run of letters and digits, joined by hyphens.
+TOKEN = r"(?:[cdjlmnst]|qu|jusqu|lorsqu|puisqu|quoiqu)['’]|[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*"
+#: What stands between blanks and punctuation: words with what joins them, of which only those of letters and digits alone count.
+JOINED = r"[\p{L}\p{N}]+(?:['’\-./_@+]+[\p{L}\p{N}]+|[,:]\p{Nd}[\p{L}\p{N}]*)*"
 
 
 @cache
@@ -70,14 +72,20 @@ def tokens(col: Column) -> Column:
     return F.regexp_extract_all(F.lower(col), F.lit(TOKEN), F.lit(0))
 
 
-def words(col: Column) -> Column:
-    """Runs of letters, case kept."""
-    return F.regexp_extract_all(col, F.lit(r"\p{L}+"), F.lit(0))
+def alpha_tokens(col: Column) -> Column:
+    """Tokens of running text as written, those of letters alone: no elisions, no words with hyphens or digits. Null gives null."""
+    return F.filter(F.regexp_extract_all(col, F.lit("(?i)" + TOKEN), F.lit(0)), is_alpha)
 
 
 def alnum_words(col: Column) -> Column:
-    """Runs of letters and digits in lower case."""
-    return F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-case tokens of letters and digits alone; what is joined by an apostrophe, a hyphen or the like is no such token as a
+    whole and left out, not split. Null gives null."""
+    return F.filter(F.regexp_extract_all(F.lower(col), F.lit(JOINED), F.lit(0)), lambda t: t.rlike(r"^[\p{L}\p{N}]+$"))
+
+
+def regex_tokens(col: Column) -> Column:
+    """Lower-case runs of letters, digits and underscores, the tokens of a pattern without a language. Null gives null."""
+    return F.regexp_extract_all(F.lower(col), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def query_tokens(col: Column) -> Column:

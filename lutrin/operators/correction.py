@@ -43,15 +43,17 @@ def candidates(unknown: DataFrame, words: DataFrame) -> DataFrame:
     """Candidates of unknown words: (target, seuil_*, word, lemma, prefix_len, prefix_ratio, distance).
 
     ``unknown`` has (target, seuil_min, seuil_max, seuil_proximite), each combination once, however often it was asked. A
-    shared prefix of seuil_min characters is an equal one of that length, so the words enter once for each length of their
-    prefixes and the join is an equi-join; seuil_min of 0 or less meets all words by the empty prefix.
+    shared prefix of seuil_min characters is an equal one of that length, and a length that differs by at most seuil_max is one of
+    few, so words and targets enter once for each and the join is an equi-join on prefix and length; a seuil_min of 0 or less meets
+    the words of those lengths by the empty prefix. Keys that many targets have are split by adaptive execution: a word is met by its
+    own length only.
     """
     prefixes = words.select("word", "lemma", F.explode(F.sequence(F.lit(0), F.length("word"))).alias("k"))
-    prefixes = prefixes.select("word", "lemma", "k", F.expr("left(word, k)").alias("head"))
-    k = F.greatest("seuil_min", F.lit(0))
-    asked = unknown.withColumn("k", k).withColumn("head", F.expr("left(target, k)"))
-    near = F.abs(F.length("word") - F.length("target")) <= F.col("seuil_max")
-    met = asked.join(prefixes, ["k", "head"]).filter(near & (F.length("target") >= F.col("k")))
+    prefixes = prefixes.select("word", "lemma", "k", F.expr("left(word, k)").alias("head"), F.length("word").alias("size"))
+    k, size = F.greatest("seuil_min", F.lit(0)), F.length("target")
+    asked = unknown.filter((F.col("seuil_max") >= 0) & (size >= k)).withColumn("k", k).withColumn("head", F.expr("left(target, k)"))
+    asked = asked.withColumn("size", F.explode(F.sequence(F.greatest(size - F.col("seuil_max"), k), size + F.col("seuil_max"))))
+    met = asked.join(prefixes, ["k", "head", "size"])
     met = met.withColumn("prefix_len", common_prefix_length(F.col("target"), F.col("word")))
     met = met.withColumn("prefix_ratio", F.col("prefix_len") / F.greatest(F.lit(1), F.least(F.length("target"), F.length("word"))))
     met = met.filter(F.col("prefix_ratio") >= F.col("seuil_proximite"))
@@ -101,6 +103,14 @@ def report(results: DataFrame) -> DataFrame:
     return results.select("query_id", "pos", text.alias("line"))
 
 
+def lexicon_path(choice: str = "full", path: str | None = None, folder: str = ".") -> str:
+    """Where the lexicon is: ``path`` if given, else the small (``mini``) or the whole one (``full``) of ``folder``."""
+    names = {"mini": "mini_lexicon.tsv", "full": "mot_lemma_list.txt"}
+    if choice not in names:
+        raise ValueError("the lexicon is mini or full")
+    return path or f"{folder.rstrip('/')}/{names[choice]}"
+
+
 def analyze(spark, query: str | None, lines: DataFrame | None, seuil_min: int = SEUIL_MIN, seuil_max: int = SEUIL_MAX, seuil_proximite: float = SEUIL_PROXIMITE) -> DataFrame:
     """The analysis of one query. An empty query is a ValueError, a missing lexicon a FileNotFoundError."""
     if not query or not query.strip():

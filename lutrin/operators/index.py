@@ -6,13 +6,15 @@ no document and are left out everywhere. Nulls in titles and texts count as empt
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lutrin.functions.stemmer import french_stem
-from lutrin.functions.text import alnum_words, full_text, is_alpha, tokens, words
+from lutrin.functions.text import alnum_words, alpha_tokens, full_text, is_alpha, tokens
 from lutrin.session import ship
 
 #: Highest score of a term in the anti-dictionary. Fixed value.
@@ -21,10 +23,9 @@ SEUIL = 0.0001
 LIST = 100_000
 
 
-def term_frequency(df: DataFrame, doc_key: str = "bulletin", text: Column | None = None) -> DataFrame:
-    """(doc_key, term, tf). Counts are combined within tasks before the one shuffle."""
-    text = full_text() if text is None else text
-    rows = df.filter(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("doc_key"), F.explode(tokens(text)).alias("term"))
+def term_frequency(df: DataFrame, doc_key: str = "bulletin", split: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(doc_key, term, tf) of the tokens that ``split`` makes of title and text. Counts are combined within tasks before the one shuffle."""
+    rows = df.filter(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("doc_key"), F.explode(split(full_text())).alias("term"))
     return rows.groupBy("doc_key", "term").agg(F.count("*").alias("tf"))
 
 
@@ -82,14 +83,26 @@ def anti_dictionary(df: DataFrame, doc_key: str = "bulletin", seuil: float = SEU
     return max_scores(df, doc_key).filter(F.col("score") <= seuil).select(F.col("term").alias("token"), F.lit("").alias("subst"))
 
 
+def in_order_met(df: DataFrame, anti: DataFrame, doc_key: str = "bulletin", order: str = "rec_id") -> DataFrame:
+    """(ord, token, subst): an anti-dictionary in the order in which its tokens are first met, document by document in the order
+    in which these are first met, within one by ``order`` and place. Only the list itself is numbered in one task."""
+    begun = df.filter(F.col(doc_key).isNotNull()).groupBy(F.col(doc_key).alias("doc")).agg(F.min(order).alias("begin"))
+    rows = df.select(F.col(doc_key).alias("doc"), F.col(order).alias("at"), F.posexplode(tokens(full_text())).alias("pos", "token"))
+    first = rows.groupBy("doc", "token").agg(F.min(F.struct("at", "pos")).alias("place")).join(begun, "doc")
+    found = first.join(anti, "token").groupBy("token", "subst").agg(F.min(F.struct("begin", "doc", "place")).alias("place"))
+    return found.select(F.row_number().over(Window.orderBy("place")).alias("ord"), "token", "subst")
+
+
 def in_every_document(df: DataFrame, doc_key: str = "bulletin") -> DataFrame:
     """(token, subst): terms of all documents, the second form of the anti-dictionary."""
     return document_frequency(df, doc_key).filter(F.col("df") == n_documents(df, doc_key)).select(F.col("term").alias("token"), F.lit("").alias("subst"))
 
 
-def lemmatized(df: DataFrame, lemmas: DataFrame, doc_key: str = "bulletin", text: Column | None = None) -> DataFrame:
-    """(doc_key, term, tf) of lemmas: distinct terms are looked up in ``lemmas`` (word, lemma); others stand for themselves."""
-    tf = term_frequency(df, doc_key, text)
+def lemmatized(df: DataFrame, lemmas: DataFrame, doc_key: str = "bulletin", alpha: bool = False) -> DataFrame:
+    """(doc_key, term, tf) of lemmas: distinct terms are looked up in ``lemmas`` (word, lemma); others stand for themselves. With
+    ``alpha`` only terms of letters alone, whatever their lemma is like."""
+    tf = term_frequency(df, doc_key)
+    tf = tf.filter(is_alpha(F.col("term"))) if alpha else tf
     found = tf.join(lemmas.select(F.col("word").alias("term"), "lemma"), "term", "left")
     return found.groupBy("doc_key", F.coalesce("lemma", "term").alias("term")).agg(F.sum("tf").alias("tf"))
 
@@ -105,9 +118,9 @@ def lemma_anti_dictionary(df: DataFrame, lemmas: DataFrame, doc_key: str = "bull
 
 
 def inverted_index(df: DataFrame, lemmas: DataFrame, doc_key: str = "bulletin", body: str = "texte") -> DataFrame:
-    """(lemma, doc_id, tf) of alphabetic lemmas; rows whose text is null or blank have none, even if they have a title."""
+    """(lemma, doc_id, tf) of the lemmas of alphabetic tokens; rows whose text is null or blank have none, even if they have a title."""
     rows = df.filter(F.col(body).rlike(r"(?U)\S"))
-    return lemmatized(rows, lemmas, doc_key).filter(is_alpha(F.col("term"))).select(F.col("term").alias("lemma"), F.col("doc_key").alias("doc_id"), "tf")
+    return lemmatized(rows, lemmas, doc_key, alpha=True).select(F.col("term").alias("lemma"), F.col("doc_key").alias("doc_id"), "tf")
 
 
 def postings(index: DataFrame) -> DataFrame:
@@ -124,7 +137,7 @@ def postings(index: DataFrame) -> DataFrame:
 
 
 def word_counts(df: DataFrame) -> DataFrame:
-    """(word, n): occurrences of each run of letters and digits, lower case, over titles and texts."""
+    """(word, n): occurrences of each token of letters and digits alone, lower case, over titles and texts."""
     return df.select(F.explode(alnum_words(full_text())).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -134,6 +147,11 @@ def stem_frequency(df: DataFrame) -> DataFrame:
     return word_counts(df).select(french_stem("word").alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
+def stem_total(df: DataFrame) -> DataFrame:
+    """(n_words, n_distinct): all words that are stemmed, and the different ones among them."""
+    return word_counts(df).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_words"), F.count("*").alias("n_distinct"))
+
+
 def word_stems(df: DataFrame) -> DataFrame:
     """(word, stem) of each different word."""
     ship(df.sparkSession)
@@ -141,13 +159,12 @@ def word_stems(df: DataFrame) -> DataFrame:
 
 
 def word_lemma_pairs(df: DataFrame, lemmas: DataFrame, id_col: str = "rec_id") -> DataFrame:
-    """(id, part, pos, word, lemma): words of texts (part 0) and titles (part 1) as written, with lemmas; others are their own.
-
-    Words are looked up in lower case. Each row keeps its own pairs; repeated rows repeat theirs.
+    """(id, part, pos, word, lemma): tokens of letters alone of texts (part 0) and titles (part 1) as written, with lemmas; others are
+    their own. Words are looked up in lower case. Each row keeps its own pairs; repeated rows repeat theirs.
     """
     rows = None
     for part, col in enumerate(("texte", "titre")):
-        own = df.select(F.col(id_col), F.lit(part).alias("part"), F.posexplode(words(F.col(col))).alias("pos", "word"))
+        own = df.select(F.col(id_col), F.lit(part).alias("part"), F.posexplode(alpha_tokens(F.col(col))).alias("pos", "word"))
         rows = own if rows is None else rows.unionByName(own)
     known = lemmas.select(F.col("word").alias("low"), "lemma")
     return rows.withColumn("low", F.lower("word")).join(known, "low", "left").select(id_col, "part", "pos", "word", F.coalesce("lemma", "low").alias("lemma"))

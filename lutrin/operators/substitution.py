@@ -8,14 +8,14 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lutrin.session import ship
 
-#: Lists up to this length become a fold of native expressions, longer ones a vectorised function.
-NATIVE = 100
+#: Tokens of one function.
+LIST = 20_000
 
 
 def _is_word(ch: str) -> bool:
@@ -36,40 +36,37 @@ def _marks() -> str:
 
 
 def bounded(token: str, quoted: str, word: str) -> str:
-    """Pattern of a whole token, by one rule in both engines: words are letters, digits, underscores and combining marks. An
+    """Pattern of a whole token: words are letters, digits, underscores and combining marks. An
     end of the token that is one of these has none beside it, any other end has one beside it."""
     before = f"(?<!{word})" if _is_word(token[0]) else f"(?<={word})"
     return before + quoted + (f"(?!{word})" if _is_word(token[-1]) else f"(?={word})")
 
 
-def fold(col: Column, pairs: list[tuple[str, str]]) -> Column:
-    """``col`` with each token replaced in order, whole words and any case. Spaces stay. Null gives null, '' gives ''.
+def replacer(pairs: list[tuple[str, str]]):
+    """A vectorised function that replaces each token in order, whole words and any case. Spaces stay. Null gives null, '' gives ''.
 
-    The order matters: what one replacement leaves is what the next one sees.
+    The order matters: what one replacement leaves is what the next one sees. Only tokens that a text holds are looked for.
     """
-    for token, subst in pairs:
-        quoted = r"\Q" + token.replace(r"\E", r"\E\\E\Q") + r"\E"
-        col = F.regexp_replace(col, "(?iu)" + bounded(token, quoted, r"[\p{L}\p{N}\p{M}_]"), subst.replace("\\", "\\\\").replace("$", "\\$"))
-    return col
-
-
-def replacer(pairs: list[tuple[str, str]]):
-    """The same as one vectorised function, for long lists."""
     # Where nothing has a mark, Python's own boundary is the rule's, and much faster.
-    plain = [(re.compile(rf"\b{re.escape(t)}\b", re.I), s) for t, s in pairs]
+    plain = [(t.casefold(), re.compile(rf"\b{re.escape(t)}\b", re.I), s) for t, s in pairs]
     substitutes = "".join(s for _, s in pairs)
     mark, marked = re.compile(f"[{_marks()}]"), []
 
     def one(text: str | None) -> str | None:
         if text:
             compiled = plain
-            if mark.search(text) or mark.search(substitutes):
+            if not text.isascii() and mark.search(text) or mark.search(substitutes):
                 if not marked:
                     word = rf"[\w{_marks()}]"
-                    marked.extend((re.compile(bounded(t, re.escape(t), word), re.I), s) for t, s in pairs)
+                    marked.extend((t.casefold(), re.compile(bounded(t, re.escape(t), word), re.I), s) for t, s in pairs)
                 compiled = marked
-            for pattern, subst in compiled:
-                text = pattern.sub(lambda m, s=subst: s, text)
+            low = text.casefold()
+            for folded, pattern, subst in compiled:
+                # What matches in any case is equal without case; text without the token needs no search.
+                if folded in low:
+                    text, n = pattern.subn(lambda m, s=subst: s, text)
+                    if n:
+                        low = text.casefold()
         return text
 
     @F.pandas_udf(StringType())
@@ -79,21 +76,20 @@ def replacer(pairs: list[tuple[str, str]]):
     return run
 
 
-def ordered_pairs(anti: DataFrame, most: int = 100_000) -> list[tuple[str, str]]:
-    """The list in order, of a repeated token the first place and the last substitute. It comes to the driver: a list of more
-    than ``most`` tokens isn't one of stop words and is refused."""
+def ordered_pairs(anti: DataFrame) -> list[tuple[str, str]]:
+    """The list in order, of a repeated token the first place and the last substitute. It comes to the driver, in parts: a list of stop
+    words, or at most the vocabulary of a collection."""
     rows = anti.groupBy("token").agg(F.min("ord").alias("first"), F.max_by("subst", "ord").alias("subst")).filter("token is not null and token != ''")
-    found = rows.orderBy("first").limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"an anti-dictionary of more than {most} tokens")
-    return [(r["token"], r["subst"] or "") for r in found]
+    return [(r["token"], r["subst"] or "") for r in rows.orderBy("first", "token").toLocalIterator()]
 
 
 def filtered_corpus(df: DataFrame, anti: DataFrame, text_cols: list[str] | None = None) -> DataFrame:
-    """``df`` with the tokens of ``anti`` (ord, token, subst) replaced in titles and texts; an empty list changes nothing."""
+    """``df`` with the tokens of ``anti`` (ord, token, subst) replaced in titles and texts; an empty list changes nothing. Lists of any
+    length follow one rule; each LIST tokens are one function, applied to what the ones before leave."""
     pairs = ordered_pairs(anti)
-    if not pairs:
-        return df
     ship(df.sparkSession)
-    change = (lambda c: fold(c, pairs)) if len(pairs) <= NATIVE else replacer(pairs)
-    return df.withColumns({c: change(F.col(c)) for c in text_cols or ["titre", "texte"] if c in df.columns})
+    cols = [c for c in text_cols or ["titre", "texte"] if c in df.columns]
+    for i in range(0, len(pairs), LIST):
+        change = replacer(pairs[i : i + LIST])
+        df = df.withColumns({c: change(F.col(c)) for c in cols})
+    return df

@@ -7,12 +7,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lutrin.functions.html import RECORD, extractor
 from lutrin.functions.text import trim_unicode
 from lutrin.session import ship
 
 
+def _has_pages(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*.htm")
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def choose_folder(spark: SparkSession, folder: str | None, default: str) -> str:
+    """``folder`` if it holds *.htm files, else ``default``: so for null, blank and wrong ones."""
+    own = (folder or "").strip()
+    return own if own and _has_pages(spark, own) else default
+
+
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(path, html) of all *.htm files directly in a folder, whole files read as UTF-8."""
     if not folder or not folder.strip():
@@ -35,19 +47,48 @@ def image_lists(articles: DataFrame) -> DataFrame:
     return articles.select("*", F.col("images.url").alias("images_url"), F.col("images.legend").alias("images_legend")).drop("images")
 
 
+#: A document of the corpus in XML: images are elements ``image`` and ``legend`` in one element, as many of each.
+_DOCUMENT = StructType([*(f for f in RECORD.fields if f.name != "images"), StructField("images", StructType([StructField(n, ArrayType(StringType())) for n in ("image", "legend")]))])
+_CORRUPT = "_corrupt_record"
+
+
+def corpus_records(pages: DataFrame) -> DataFrame:
+    """The records that a corpus is built of: those of ``articles_of`` with the title's first own text as it is."""
+    return articles_of(pages, first_title_node=True)
+
+
+def _read_xml(spark: SparkSession, path: str, mode: str, schema: StructType) -> DataFrame:
+    reader = spark.read.schema(schema).format("xml").option("rowTag", "document").option("mode", mode).option("ignoreSurroundingSpaces", "false")
+    return reader.option("columnNameOfCorruptRecord", _CORRUPT).load(path)
+
+
 def read_corpus(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    """Article records from corpus XML (rows are ``document`` elements). Empty elements read back as ''.
+    """Article records from corpus XML (rows are ``document`` elements). Empty elements read back as '', but no article number as null.
 
-    ``tolerant`` leaves out rows that can't be parsed; otherwise they fail the read.
+    ``tolerant`` leaves out rows that can't be parsed (``corpus_errors`` has them); otherwise they fail the read.
     """
-    reader = spark.read.schema(RECORD).format("xml").option("rowTag", "document").option("mode", "DROPMALFORMED" if tolerant else "FAILFAST")
-    df = reader.load(path)
-    return df.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) if c not in ("images", "article") else F.col(c) for c in df.columns))
+    df = _read_xml(spark, path, "DROPMALFORMED" if tolerant else "FAILFAST", _DOCUMENT)
+    pairs = F.arrays_zip(F.col("images.image").alias("url"), F.col("images.legend").alias("legend"))
+    images = F.transform(pairs, lambda p: F.struct(p["url"].alias("url"), F.coalesce(p["legend"], F.lit("")).alias("legend")))
+    fields = [F.nullif(F.col(c), F.lit("")).alias(c) if c == "article" else F.coalesce(images, F.array().cast(RECORD["images"].dataType)).alias(c) if c == "images" else F.coalesce(F.col(c), F.lit("")).alias(c) for c in RECORD.fieldNames()]
+    return df.select(*fields)
+
+
+def corpus_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(record): the documents of corpus XML that can't be parsed, as they stand."""
+    df = _read_xml(spark, path, "PERMISSIVE", StructType([*_DOCUMENT.fields, StructField(_CORRUPT, StringType())]))
+    # Spark wants another column to be read beside the record.
+    nothing = F.substring(F.coalesce("titre", F.lit("")), 1, 0)
+    return df.filter(F.col(_CORRUPT).isNotNull()).select(F.concat(_CORRUPT, nothing).alias("record"))
 
 
 def write_corpus(df: DataFrame, path: str) -> None:
-    """Article records as corpus XML."""
-    df.select(*(c for c in RECORD.fieldNames() if c in df.columns)).write.mode("overwrite").format("xml").option("rootTag", "corpus").option("rowTag", "document").option("nullValue", "").save(path)
+    """Article records as corpus XML; columns of other names are left out. What XML has no sign for, control characters, is too."""
+    bad = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
+    own = [F.regexp_replace(F.coalesce(F.col(c), F.lit("")), bad, "").alias(c) for c in RECORD.fieldNames() if c in df.columns and c != "images"]
+    if "images" in df.columns:
+        own.append(F.struct(F.col("images.url").alias("image"), F.transform("images", lambda i: F.coalesce(i["legend"], F.lit(""))).alias("legend")).alias("images"))
+    df.select(*own).write.mode("overwrite").format("xml").option("rootTag", "corpus").option("rowTag", "document").save(path)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +110,10 @@ def read_anti_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_anti_dictionary(df: DataFrame, path: str) -> None:
-    df.orderBy("token").select(F.concat_ws("\t", "token", F.lit(' ""'))).write.mode("overwrite").text(path)
+    """A list of lines ``token<TAB> "subst"`` in one file, by ``ord`` where there is one, else by token."""
+    subst = F.coalesce(F.col("subst"), F.lit("")) if "subst" in df.columns else F.lit("")
+    line = F.concat("token", F.lit('\t "'), subst, F.lit('"'))
+    df.orderBy(*(["ord"] if "ord" in df.columns else []), "token").coalesce(1).select(line).write.mode("overwrite").text(path)
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:

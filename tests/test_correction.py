@@ -64,3 +64,9 @@ def test_empty_and_null_queries(spark, lines):
     assert [(r.query_id, r.correction) for r in got] == [(4, "textile")]
     assert correction.analysis(spark.createDataFrame([], schema), lines).count() == 0
     assert correction.analysis(spark.createDataFrame(rows, schema), lines.limit(0)).first().status == "introuvable"
+
+
+def test_lexicon_choice():
+    assert correction.lexicon_path("mini", folder="/x/") == "/x/mini_lexicon.tsv" and correction.lexicon_path() == "./mot_lemma_list.txt" and correction.lexicon_path("full", "/y") == "/y"
+    with pytest.raises(ValueError):
+        correction.lexicon_path("other")

@@ -46,3 +46,44 @@ def test_pages(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.bulletin) for r in got] == [("1.htm", "7")]
     with pytest.raises(ValueError):
         files.read_pages(spark, " ")
+
+
+def test_corpus_as_others_write_it(spark, tmp_path):
+    (tmp_path / "c.xml").write_text("""<?xml version="1.0" ?>
+<corpus>
+    <document>
+        <article>9</article>
+        <titre>Un titre</titre>
+        <texte> deux
+lignes </texte>
+        <images>
+            <image>a.jpg</image>
+            <legend>Une image</legend>
+            <image>b.jpg</image>
+            <legend/>
+        </images>
+        <contact/>
+    </document>
+    <document><article/><images/></document>
+</corpus>""")
+    a, b = sorted(files.read_corpus(spark, str(tmp_path / "c.xml")).collect(), key=lambda r: r.article is None)
+    assert [(i.url, i.legend) for i in a.images] == [("a.jpg", "Une image"), ("b.jpg", "")] and a.texte == " deux\nlignes " and a.contact == ""
+    assert b.article is None and b.images == []
+
+
+def test_errors_are_told(spark, tmp_path):
+    (tmp_path / "x.xml").write_text("<corpus><document><titre>a</titre></document><document><titre>b</titr></document></corpus>")
+    assert [r.record.count("b") for r in files.corpus_errors(spark, str(tmp_path / "x.xml")).collect()] == [1]
+
+
+def test_folder(spark, tmp_path):
+    (tmp_path / "1.htm").write_text("x")
+    assert files.choose_folder(spark, f" {tmp_path} ", "/d") == str(tmp_path)
+    assert {files.choose_folder(spark, f, "/d") for f in (None, " ", "/nowhere", str(tmp_path.parent / "none"))} == {"/d"}
+
+
+def test_list_keeps_order_and_substitutes(spark, tmp_path):
+    df = spark.createDataFrame([(2, "a", "x"), (1, "b", None)], "ord int, token string, subst string")
+    files.write_anti_dictionary(df, str(tmp_path / "a"))
+    got = files.read_anti_dictionary(spark, str(tmp_path / "a")).orderBy("ord").collect()
+    assert [(r.ord, r.token, r.subst) for r in got] == [(1, "b", ""), (2, "a", "x")]

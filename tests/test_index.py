@@ -89,3 +89,22 @@ def test_against_sql(name, same, sf):
 @pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_runs(name, spark, sf):
     assert plans.queries()[name](spark, sf).count() > 0
+
+
+def test_order_in_which_tokens_are_met(spark):
+    rows = [(1, "b", "", "le a"), (2, "a", "de", "la le"), (3, "b", "la", "de")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    anti = spark.createDataFrame([("de", ""), ("la", ""), ("le", "")], "token string, subst string")
+    assert [(r.ord, r.token) for r in index.in_order_met(df, anti).orderBy("ord").collect()] == [(1, "le"), (2, "la"), (3, "de")]
+
+
+def test_filter_is_on_the_token(spark):
+    df = spark.createDataFrame([(1, "a", "", "pare-feu ado x2")], SCHEMA)
+    lemmas = spark.createDataFrame([("pare-feu", "mur"), ("ado", "adolescent-e"), ("x2", "double")], "word string, lemma string")
+    assert [r.lemma for r in index.inverted_index(df, lemmas).collect()] == ["adolescent-e"]
+    assert {r.term for r in index.lemma_max_scores(df, lemmas).collect()} == {"mur", "adolescent-e", "double"}
+
+
+def test_total_of_stemmed_words(spark, docs):
+    r = index.stem_total(docs).first()
+    assert (r.n_words, r.n_distinct) == (16, 5) and index.stem_total(docs.limit(0)).first().n_words == 0

@@ -59,3 +59,11 @@ def test_stems_of_published_sample():
     for pair in sample.split(","):
         word, want = pair.split()
         assert stem(word) == want, word
+
+
+def test_whole_tokens(spark):
+    assert one(spark, "Un micro-ondes de l'eau, 3,14 km : R2D2 n’a pas_ été. a_b", text.alnum_words) == ["un", "de", "km", "r2d2", "pas", "été"]
+    assert one(spark, "Le micro-ondes : l'Eau 2 R2", text.alpha_tokens) == ["Le", "Eau"]
+    assert one(spark, "Le micro-ondes", text.tokens) == ["le", "micro-ondes"]
+    assert one(spark, "a_b l'été-2", text.regex_tokens) == ["a_b", "l", "été", "2"]
+    assert one(spark, None, text.alnum_words) is None
