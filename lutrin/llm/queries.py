@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lutrin.session import spread
+
 from . import p01_names, p02_frequency, p03_boilerplate, p04_subjects, p05_distinctive, p06_encoding_damage, p07_lookalikes, p08_encoding, p09_leaks, p10_repetition
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def p1_signatories(spark: SparkSession, sf_dir: str) -> DataFrame:
