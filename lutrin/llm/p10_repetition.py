@@ -12,6 +12,7 @@ The labels are what the definition says, the share of words in runs that occurre
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -190,36 +191,44 @@ def as_column(rules: list[Rule]) -> Column:
 
 
 def training_rows(df: DataFrame, text_col: str):
-    """(measures, whether a text says everything once) of at most SAMPLE_ROWS texts, labelled by the definition; two arrays.
-
-    Every text also comes with parts of it said again, as phrases, sentences or as a whole, in a share that grows from row to row, so both
-    labels are there whatever the corpus holds; rows whose share lies between 0.35 and 0.45, which don't occur, are left out.
-    """
+    """(measures, whether a text says everything once) of at most SAMPLE_ROWS texts, labelled by the definition; two arrays. Tasks
+    measure; what comes to the driver are the measures."""
     import numpy as np
 
     whole = df.select(F.col(text_col).alias("text")).filter(F.length("text").between(1, SAMPLE_CHARS))
-    texts = [r["text"] for r in whole.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS).collect()]
-    return labelled(texts) if texts else (np.zeros((0, len(MEASURES))), np.zeros(0, dtype=bool))
+    some = whole.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS)
 
+    def make():
+        def run(parts: Iterator[dict[str, list]]) -> Iterator[list[tuple]]:
+            for part in parts:
+                yield [(*x, y) for text in part["text"] for x, y in labelled(text)]
+
+        return run
+
+    spread = some.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    rows = sorted(tuple(r) for r in map_rows(spread, f"{KINDS}, once boolean", make).collect())
+    table = np.array(rows, dtype=float).reshape(-1, len(MEASURES) + 1)
+    return table[:, :-1], table[:, -1] > 0.5
 
-def labelled(texts: list[str]):
-    """The measures of texts and of the same with repetition put in, and whether they say everything once."""
-    import numpy as np
 
-    x, y = [], []
-    for k, text in enumerate(texts):
-        words = text.split()
-        n = len(words)
-        share = (k % 20 + 1) / 20
-        step = 5 + k % 9
-        # Phrases of five to thirteen words from all over the text, each said again at once.
-        phrases = [w for i in range(0, n, step) for w in words[i : i + step] * (2 if i % 20 < 20 * share else 1)]
-        for t in (text, text + "\n" + text[: int(len(text) * share)], " ".join(words + words[: int(n * share)] * (1 + k % 3)), " ".join(phrases)):
-            s = repeated_share(fold_words(t))
-            if not 0.35 < s < 0.45:
-                x.append(measure(t))
-                y.append(s < SHARE)
-    return np.array(x, dtype=float).reshape(-1, len(MEASURES)), np.array(y, dtype=bool)
+def labelled(text: str) -> list[tuple[tuple, bool]]:
+    """The measures of a text and of three of its kind with repetition put in, and whether they say everything once.
+
+    Parts of the text are said again, as phrases of five to thirteen words, as a part or as a whole, in a share that its hash tells, so both
+    labels are there whatever the corpus holds; texts whose share lies between 0.35 and 0.45, which don't occur, are left out.
+    """
+    words = text.split()
+    n, k = len(words), zlib.crc32(text.encode())
+    share = (k % 20 + 1) / 20
+    step = 5 + k % 9
+    # Phrases from all over the text, each said again at once.
+    phrases = [w for i in range(0, n, step) for w in words[i : i + step] * (2 if i % 20 < 20 * share else 1)]
+    found = []
+    for t in (text, text + "\n" + text[: int(len(text) * share)], " ".join(words + words[: int(n * share)] * (1 + k % 3)), " ".join(phrases)):
+        s = repeated_share(fold_words(t))
+        if not 0.35 < s < 0.45:
+            found.append((measure(t), s < SHARE))
+    return found
 
 
 def repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -145,15 +145,20 @@ def test_share():
         assert p10.repeated_share(words) == pytest.approx(brute_share(words))
 
 
+def labelled(texts):
+    rows = [r for t in texts for r in p10.labelled(t)]
+    return np.array([x for x, _ in rows], dtype=float), np.array([y for _, y in rows])
+
+
 def test_learned_list(spark):
     r = random.Random(6)
     vocabulary = [f"mot{i}" for i in range(400)]
     texts = [" ".join(r.choice(vocabulary) + r.choice(["", "", ".", "\n"]) for _ in range(r.randrange(30, 300))) for _ in range(300)]
-    x, y = p10.labelled(texts[:200])
+    x, y = labelled(texts[:200])
     rules = p10.learn(x, y)
     assert rules and not any(p10._covers(rule, x[~y]).any() for rule in rules)
     # On texts held out: none that repeats is cleared, most others are.
-    x, y = p10.labelled(texts[200:])
+    x, y = labelled(texts[200:])
     cleared = np.zeros(len(x), dtype=bool)
     for rule in rules:
         cleared |= p10._covers(rule, x)
