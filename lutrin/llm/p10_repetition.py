@@ -29,6 +29,8 @@ SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 20_000
 #: Labelled rows a rule covers, at least: fewer are chance. What no rule covers is measured exactly.
 LEAST = 20
+#: Share of its own rows a threshold gives up to keep off the other class.
+MARGIN = 0.05
 MEASURES = ["line_share", "sentence_share", "top_pair_share", "top_triple_share", "distinct_share", "pair_share", "n_words"]
 KINDS = ", ".join(f"{m} {'long' if m == 'n_words' else 'double'}" for m in MEASURES)
 
@@ -126,7 +128,7 @@ def _covers(rule: Rule, x):
 
 def _grow(x, y, rule: Rule) -> Rule:
     """Adds to ``rule`` the condition of the highest information gain until it covers no row of the other class. All gaps between
-    values of different classes are tried as thresholds; a threshold is the last value of the class the rule is for."""
+    values of different classes are tried as thresholds; the threshold taken then keeps off the other class by MARGIN."""
     import numpy as np
 
     x, y = x[(c := _covers(rule, x))], y[c]
@@ -142,10 +144,10 @@ def _grow(x, y, rule: Rule) -> Rule:
                     gain = np.where(p > 0, p * (np.log2(p / total) - base), -1.0)
                 i = int(np.argmax(gain))
                 if gain[i] > best[0] + 1e-12:
-                    # The value at the edge, or, if it is one of the other class, the nearest of the rule's own.
+                    # Of the rule's own values, not the last before the edge but one that leaves MARGIN of them outside.
                     inside = v[: edge[i] + 1] if op == "<=" else v[(edge[i - 1] + 1 if i else 0) :]
                     own = inside[y[order][: edge[i] + 1] if op == "<=" else y[order][(edge[i - 1] + 1 if i else 0) :]]
-                    best = (float(gain[i]), (m, op, float(own.max() if op == "<=" else own.min())))
+                    best = (float(gain[i]), (m, op, float(np.quantile(own, 1 - MARGIN, method="lower") if op == "<=" else np.quantile(own, MARGIN, method="higher"))))
         if best[1] is None:
             return []
         # A further condition on the same side of a measure is the narrower one and takes the place of the first.
