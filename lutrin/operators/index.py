@@ -19,6 +19,9 @@ from lutrin.session import ship
 
 #: Highest score of a term in the anti-dictionary. Fixed value.
 SEUIL = 0.0001
+#: Share of all documents from which a term's statistics are broadcast. A document of m different terms takes part in m document
+#: frequencies, so there are at most (mean of m) / HEAD_SHARE such terms: a bound that doesn't grow with the collection.
+HEAD_SHARE = 0.05
 #: Documents in one block of a list of postings, about.
 LIST = 100_000
 
@@ -47,14 +50,20 @@ def document_frequency(df: DataFrame, doc_key: str = "bulletin") -> DataFrame:
 def tfidf(df: DataFrame, doc_key: str = "bulletin") -> DataFrame:
     """(doc_key, term, tf, df, score) with score = tf * ln(N / df), no smoothing and no length norm.
 
-    Terms of nearly all documents would be hot join keys; there are as many rows of one as documents, and adaptive execution
-    splits such a partition. Both sides read the same counts, so texts are split and shuffled once.
+    Terms of many documents would be hot join keys: those of at least HEAD_SHARE of all take their df from a broadcast, whose size
+    the mean number of terms of a document bounds, and the others, of fewer documents each, by a shuffle. All sides read the
+    same counts, so texts are split and shuffled once.
     """
-    tf = term_frequency(df, doc_key)
+    tf, n = term_frequency(df, doc_key), n_documents(df, doc_key)
     # The total keeps the counts from being pruned on this side, else its exchange would differ and nothing be reused.
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter("total > 0")
-    score = F.col("tf") * F.log(n_documents(df, doc_key) / F.col("df"))
-    return tf.join(stats, "term").select("doc_key", "term", "tf", "df", score.alias("score"))
+    is_head = F.col("df") >= F.greatest(F.lit(HEAD_SHARE) * n, F.lit(2))
+    near = F.broadcast(stats.filter(is_head).select("term", F.col("df").alias("head_df")))
+    # A term met in the head needs no partner: it gets a key of its own, spread over all partitions, that finds none.
+    key = F.when(F.col("head_df").isNull(), F.col("term")).otherwise(F.concat(F.lit("\0"), F.col("doc_key").cast("string")))
+    tail = stats.filter(~is_head).select(F.col("term").alias("key"), F.col("df").alias("tail_df"))
+    found = tf.join(near, "term", "left").withColumn("key", key).join(tail, "key", "left").withColumn("df", F.coalesce("head_df", "tail_df"))
+    return found.select("doc_key", "term", "tf", "df", (F.col("tf") * F.log(n / F.col("df"))).alias("score"))
 
 
 def max_scores(df: DataFrame, doc_key: str = "bulletin") -> DataFrame:

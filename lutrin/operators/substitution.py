@@ -77,10 +77,10 @@ def replacer(pairs: list[tuple[str, str]]):
 
 
 def ordered_pairs(anti: DataFrame) -> list[tuple[str, str]]:
-    """The list in order, of a repeated token the first place and the last substitute. It comes to the driver, in parts: a list of stop
-    words, or at most the vocabulary of a collection."""
+    """The list in order, of a repeated token the first place and the last substitute. It comes to the driver: a list of stop
+    words, at most some of a language's vocabulary, however large the collection."""
     rows = anti.groupBy("token").agg(F.min("ord").alias("first"), F.max_by("subst", "ord").alias("subst")).filter("token is not null and token != ''")
-    return [(r["token"], r["subst"] or "") for r in rows.orderBy("first", "token").toLocalIterator()]
+    return [(r["token"], r["subst"] or "") for r in rows.orderBy("first", "token").collect()]
 
 
 def filtered_corpus(df: DataFrame, anti: DataFrame, text_cols: list[str] | None = None) -> DataFrame:
